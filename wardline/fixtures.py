@@ -63,6 +63,20 @@ select conv_id, turn, case conv_id % 9
 from {conversations}
 """
 
+# A run ledger out of the event stream: one run per user, one ledger event per event.
+LEDGER_SELECT = """
+select user_id as run_id, event_id as event_seq, 'batch-' || event_type as source_file,
+ cast(floor(value * 100) as bigint) as source_size_bytes, ts as started_at,
+ case when event_type in ('purchase', 'error') then ts end as finished_at,
+ case event_type when 'purchase' then 'completed' when 'error' then 'failed' else 'running' end as status,
+ cast(event_id % 11 as int) as chunks_processed, cast(floor(value * 1000) as bigint) as rows_read,
+ cast(floor(value * 900) as bigint) as rows_inserted,
+ cast(floor(value * 1000) as bigint) - cast(floor(value * 900) as bigint) as rows_dropped,
+ '{{"overall":0.' || lpad(regexp_extract(props, '([0-9]+)', 1), 3, '0') || ',"sample_size":' || cast(event_id as string) || '}}' as quality_json,
+ case when event_type = 'error' then 'event ' || cast(event_id as string) end as error_message
+from {events}
+"""
+
 
 def discharge_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """33 text columns, one pass over the joined tables; repeated rows come from ``copies``."""
@@ -74,3 +88,8 @@ def discharge_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``conv_id, turn, query`` with whole texts."""
     return spark.sql(QUESTION_SELECT, conversations=spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def ledger_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ledger table whose runs and events come from the event stream."""
+    return spark.sql(LEDGER_SELECT, events=spark.read.parquet(f"{sf_dir}/events.parquet"))

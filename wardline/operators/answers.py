@@ -38,7 +38,7 @@ def answer_book(fact: DataFrame, dimensions: Sequence[str] = tuple(DIMENSION_RUL
     fine = long_profile(fact, dimensions, by_year=True)
     keys = ["dimension", "dimension_value"]
     all_years = merge_profile(fine, keys).withColumn("year", F.lit(None).cast("int")).withColumn("whole", F.lit(True))
-    per_year = fine.where(F.col("_year").isNotNull()).withColumn("year", F.col("_year").cast("int")).drop("_year")
+    per_year = fine.where(F.col("in_year").isNotNull()).withColumn("year", F.col("in_year").cast("int")).drop("in_year")
     both = all_years.unionByName(per_year.withColumn("whole", F.lit(False)))
     key = ["dimension", "year", "whole"]
     totals = both.groupBy(*key).agg(F.sum("count").alias("total"))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardline.functions.identity import hash_below
+
 
 def drop_duplicates(
     df: DataFrame,
@@ -45,8 +47,13 @@ def _drop_all_repeated(df: DataFrame, keys: list[str]) -> DataFrame:
     return single.select(*[F.col(f"_rest.{c}").alias(c) if c in rest else F.col(c) for c in df.columns])
 
 
-def duplicate_rate(hashes: DataFrame, key: str = "row_hash") -> DataFrame:
-    """One row: rows, distinct rows, duplicate rows and their share, judged on the row hash."""
+def duplicate_rate(hashes: DataFrame, key: str = "row_hash", fraction: float = 1.0, seed: int = 42) -> DataFrame:
+    """One row: rows, distinct rows, duplicate rows and their share, judged on the row hash.
+
+    A ``fraction`` below one gives an estimate from a sample of hashes: all copies of a row are
+    in it or none, so the share is not biased the way a sample of rows would be.
+    """
+    hashes = hashes.where(hash_below(F.col(key), fraction, seed))
     groups = hashes.groupBy(key).agg(F.count("*").alias("n"))
     totals = groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows_examined"), F.count("*").alias("distinct_rows"))
     duplicates = F.col("rows_examined") - F.col("distinct_rows")

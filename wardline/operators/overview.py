@@ -41,12 +41,12 @@ def long_profile(df: DataFrame, dimensions: Sequence[str], by_year: bool = False
     The rows are unfolded once per dimension and folded again by the partial aggregate before the
     shuffle, so what is shuffled grows with the number of groups, not of rows.
     """
-    ids = [F.col(c) for c in _MEASURES.values()] + ([F.col("discharge_year").alias("_year")] if by_year else [])
+    ids = [F.col(c) for c in _MEASURES.values()] + ([F.col("discharge_year").alias("in_year")] if by_year else [])
     values = [F.col(DIMENSIONS[d]).cast("string").alias(f"_{d}") for d in dimensions]
     wide = df.select(*ids, *values)
-    id_names = [*_MEASURES.values()] + (["_year"] if by_year else [])
+    id_names = [*_MEASURES.values()] + (["in_year"] if by_year else [])
     long = wide.unpivot(id_names, [f"_{d}" for d in dimensions], "dimension", "dimension_value")
-    keys = ["dimension", "dimension_value"] + (["_year"] if by_year else [])
+    keys = ["dimension", "dimension_value"] + (["in_year"] if by_year else [])
     sums = long.groupBy(*keys).agg(*_additive())
     return sums.withColumn("dimension", F.substring("dimension", 2, 64))
 

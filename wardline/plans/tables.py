@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wardline import fixtures
 from wardline.operators.cleaning import strict_table
-from wardline.schema import RAW_SCHEMA
+from wardline.schema import COLUMNS, RAW_SCHEMA
 from wardline.session import new_folder
 from wardline.sources import store
 
@@ -47,3 +47,28 @@ def fact_path(spark: SparkSession, sf_dir: str) -> str:
 def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The strict discharge table, partitioned by year."""
     return store.read_fact(spark, fact_path(spark, sf_dir))
+
+
+def _per_file(rows: int) -> int:
+    """Records per exported file: about 64 files beyond what the partitions give, none tiny."""
+    return max(20_000, rows // 64)
+
+
+def csv_folder(spark: SparkSession, sf_dir: str) -> str:
+    """The staged rows as CSV files with the source headers."""
+    rows = stage(spark, sf_dir)
+
+    def write(path: str) -> None:
+        out = rows.withColumnsRenamed({n: h for h, n in COLUMNS})
+        writer = out.write.option("header", True).option("escape", '"').option("maxRecordsPerFile", _per_file(rows.count()))
+        writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+
+    return _once(spark, sf_dir, "csv", write)
+
+
+def json_folder(spark: SparkSession, sf_dir: str) -> str:
+    """The staged rows as JSON lines with the source headers."""
+    rows = stage(spark, sf_dir)
+    return _once(
+        spark, sf_dir, "jsonl", lambda p: rows.withColumnsRenamed({n: h for h, n in COLUMNS}).write.json(p)
+    )
