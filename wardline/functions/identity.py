@@ -8,17 +8,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Control characters that delimited text does not hold: between values, and in place of a null.
+SEPARATOR, NULL_MARK = "\x1f", "\x1e"
+
+
 def row_hash(columns: Sequence[str]) -> Column:
-    """SHA-256 of the columns as text.
-
-    Each value is written with its length in front and a null as ``-``, so no two different
-    rows share one encoding.
-    """
-    parts = []
-    for name in columns:
-        text = F.col(name).cast("string")
-        parts.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-")))
-    return F.sha2(F.concat(*parts), 256)
+    """SHA-256 of the columns as text. Nulls get a mark, so that values cannot shift places."""
+    texts = [F.coalesce(F.col(c).cast("string"), F.lit(NULL_MARK)) for c in columns]
+    return F.sha2(F.concat_ws(SEPARATOR, *texts), 256)
 
 
 def hash_below(key: Column, fraction: float, seed: int) -> Column:

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from wardline.functions.text import plain_decimals
 from wardline.operators import aggregate as A
-from wardline.operators.overview import UNLABELLED, long_profile, merge_profile, profile_metrics, ranked
+from wardline.operators.overview import UNLABELLED, long_profile, profile_metrics, ranked, with_all_years
 from wardline.operators.questions import DIMENSION_RULES, TOP_LIMIT
+from wardline.session import new_folder
 
 METRIC_NAMES = list(A.METRICS)
 # Sentences of the summary, report title and default sections.
@@ -33,47 +34,42 @@ def answer_book(fact: DataFrame, dimensions: Sequence[str] = tuple(DIMENSION_RUL
     """One row per (dimension, year): its ranked groups as an array of at most 50 structs.
 
     Year null is the answer over all years. 50 is the highest limit a question can ask for, so
-    the array is complete for every question, and the table has one row per dimension and year.
+    the array is complete for every question.
     """
-    fine = long_profile(fact, dimensions, by_year=True)
-    keys = ["dimension", "dimension_value"]
-    all_years = merge_profile(fine, keys).withColumn("year", F.lit(None).cast("int")).withColumn("whole", F.lit(True))
-    per_year = fine.where(F.col("in_year").isNotNull()).withColumn("year", F.col("in_year").cast("int")).drop("in_year")
-    both = all_years.unionByName(per_year.withColumn("whole", F.lit(False)))
-    key = ["dimension", "year", "whole"]
-    totals = both.groupBy(*key).agg(F.sum("count").alias("total"))
-    best = ranked(both, key, TOP_LIMIT)
+    key = ["dimension", "in_year", "whole"]
+    best = ranked(with_all_years(long_profile(fact, dimensions, by_year=True)), key, TOP_LIMIT)
     group = F.struct("rank", "dimension_value", *[c.alias(n) for n, c in profile_metrics().items()])
     lists = best.groupBy(*key).agg(F.sort_array(F.collect_list(group)).alias("groups"))
-    joined = lists.join(totals.withColumnsRenamed({"dimension": "d", "year": "y", "whole": "w"}),
-                        (F.col("dimension") == F.col("d")) & F.col("year").eqNullSafe(F.col("y")) & (F.col("whole") == F.col("w")))
-    return joined.select("dimension", "year", "groups", "total")
+    # Every row is in one group of each dimension, so the totals depend on the year alone.
+    years = fact.groupBy(F.col("discharge_year").alias("in_year")).agg(F.count("*").alias("n"))
+    totals = years.rollup("in_year").agg(F.sum("n").alias("total"), (F.grouping("in_year") == 1).alias("t_whole"))
+    totals = totals.withColumnRenamed("in_year", "t_year")
+    same = F.col("in_year").eqNullSafe(F.col("t_year")) & (F.col("whole") == F.col("t_whole"))
+    return lists.join(totals, same).select("dimension", F.col("in_year").cast("int").alias("year"), "groups", "total")
 
 
-def answer(tagged: DataFrame, fact: DataFrame, keys: Sequence[str], most_broadcast: int = 100_000) -> DataFrame:
+def answer(tagged: DataFrame, fact: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per question and group: rank, value and the metrics the question asks for.
 
-    Most questions share a few (dimension, year) pairs. The answer table is broadcast if its
-    counted size allows, so that a hot pair does not gather its questions in one task; beyond
-    the bound the join is left to the optimizer, which splits skewed partitions.
+    Most questions share a few (dimension, year) pairs. The answer table is written first: Spark
+    then knows its size and broadcasts it where that is below its threshold, so that a hot pair
+    does not gather its questions in one task; a larger one joins by sort-merge, whose skewed
+    partitions are split at run time.
     """
+    spark = fact.sparkSession
+    path = new_folder(spark, "answers")
+    answer_book(fact).coalesce(1).write.parquet(path)
+    book = spark.read.parquet(path).withColumnsRenamed({"dimension": "b_dimension", "year": "b_year"})
     asked = tagged.where("accepted").select(*keys, "intent.*")
-    book = answer_book(fact)
-    rows = book.count()
-    book = book.withColumnsRenamed({"dimension": "b_dimension", "year": "b_year"})
-    book = F.broadcast(book) if rows <= most_broadcast else book
     same = (F.col("dimension") == F.col("b_dimension")) & F.col("year").eqNullSafe(F.col("b_year"))
-    found = asked.join(book, same, "left")
+    found = asked.join(book, same)
     shown = found.withColumn("g", F.explode(F.slice("groups", F.lit(1), F.col("limit"))))
-    metrics = [
-        F.when(F.array_contains("metrics", m), F.col(f"g.{m}")).alias(m) for m in METRIC_NAMES
-    ]
-    only_count = F.array_except("metrics", F.array(F.lit("count")))
+    metrics = [F.when(F.array_contains("metrics", m), F.col(f"g.{m}")).alias(m) for m in METRIC_NAMES]
+    only_count = F.size(F.array_except("metrics", F.array(F.lit("count")))) == 0
     share = F.round(F.col("g.count").cast("double") / F.col("total").cast("double"), 6)
-    is_ratio = (F.col("dimension") == "payment") & (F.size(only_count) == 0)
     return shown.select(
         *keys, "dimension", "year", F.col("g.rank").alias("rank"), F.col("g.dimension_value").alias("dimension_value"),
-        *metrics, F.when(is_ratio, share).alias("ratio"),
+        *metrics, F.when((F.col("dimension") == "payment") & only_count, share).alias("ratio"),
     )
 
 
@@ -124,7 +120,6 @@ def report_sections(fact: DataFrame, sections: Sequence[tuple[str, str, int]] =
     """Long result of the report sections: ``position, title, dimension, rank``, metrics, all in one scan."""
     chosen = list(sections)[:MOST_SECTIONS]
     profile = long_profile(fact, sorted({d for _, d, _ in chosen}))
-    total = profile.where(F.col("dimension") == chosen[0][1]).agg(F.sum("count").cast("double").alias("t")).scalar()
     metrics = profile_metrics()
     rows = ranked(profile, ["dimension"], max(n for _, _, n in chosen))
     asked = F.array(
@@ -135,7 +130,6 @@ def report_sections(fact: DataFrame, sections: Sequence[tuple[str, str, int]] =
     )
     rows = rows.withColumn("s", F.explode(F.filter(asked, lambda s: s["dim"] == F.col("dimension"))))
     is_payment, is_age = F.col("dimension") == "payment", F.col("dimension") == "age_group"
-    share = F.round(F.col("count").cast("double") / total, 6)
     return rows.where(F.col("rank") <= F.col("s.n")).select(
         F.col("s.position").alias("position"),
         F.col("s.title").alias("title"),
@@ -143,7 +137,7 @@ def report_sections(fact: DataFrame, sections: Sequence[tuple[str, str, int]] =
         "rank",
         "dimension_value",
         "count",
-        F.when(is_payment, share).alias("ratio"),
+        F.when(is_payment, A.share_of(fact)).alias("ratio"),
         F.when(is_age, metrics["avg_length_of_stay"]).alias("avg_length_of_stay"),
         F.when(~is_payment, metrics["avg_total_charges"]).alias("avg_total_charges"),
     )

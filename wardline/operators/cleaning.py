@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions import text as X
 from wardline.functions.identity import row_hash
-from wardline.schema import MONEY_COLUMNS, NAMES, REQUIRED, TEXT_COLUMNS
+from wardline.schema import MONEY_COLUMNS, NAMES, REQUIRED
 
 NEWBORN = "Newborn"
 
@@ -22,26 +22,23 @@ NEWBORN = "Newborn"
 # ---- strict profile -------------------------------------------------------------------------
 
 
-def strict_expressions() -> dict[str, Column]:
-    """One expression per column over the raw text columns."""
-    stay = X.to_int(F.replace(F.col("length_of_stay"), F.lit(" +"), F.lit("")))
-    charges = X.to_decimal(X.remove(F.col("total_charges"), ",", "$"))
-    costs = X.to_decimal(X.remove(F.col("total_costs"), "\r", ",", "$"))
-    severity = X.to_int(F.col("apr_severity_of_illness_code"), "smallint")
-    special = {
-        "length_of_stay": F.when(stay >= 0, stay),
+def strict_rows(raw: DataFrame) -> DataFrame:
+    """Cleaned rows, duplicates still in.
+
+    Numbers are parsed in one projection and range-checked in the next: each text is parsed once.
+    """
+    parsed = {
+        "length_of_stay": X.to_int(F.replace(F.col("length_of_stay"), F.lit(" +"), F.lit(""))),
         "discharge_year": X.to_int(F.col("discharge_year"), "smallint"),
-        "apr_severity_of_illness_code": F.when(severity.between(0, 255), severity),
+        "apr_severity_of_illness_code": X.to_int(F.col("apr_severity_of_illness_code"), "smallint"),
         "birth_weight": F.when(F.col("type_of_admission") == NEWBORN, X.blank_to_null(F.col("birth_weight"))),
-        "total_charges": F.when(charges >= 0, charges),
-        "total_costs": F.when(costs >= 0, costs),
+        "total_charges": X.to_decimal(F.col("total_charges")),
+        "total_costs": X.to_decimal(F.col("total_costs")),
     }
-    return {name: special.get(name, X.blank_to_null(F.col(name))) for name in NAMES}
-
-
-def strict_rows(raw: DataFrame) -> DataFrame:
-    """Cleaned rows, duplicates still in."""
-    return raw.select(*[e.alias(n) for n, e in strict_expressions().items()])
+    rows = raw.select(*[parsed.get(n, X.blank_to_null(F.col(n))).alias(n) for n in NAMES])
+    checked = {c: X.not_negative(F.col(c)) for c in ("length_of_stay", *MONEY_COLUMNS)}
+    severity = F.col("apr_severity_of_illness_code")
+    return rows.withColumns({**checked, "apr_severity_of_illness_code": F.when(severity.between(0, 255), severity)})
 
 
 def strict_table(raw: DataFrame) -> DataFrame:
@@ -66,7 +63,7 @@ def missing_tokens(df: DataFrame) -> DataFrame:
 def clean_money(df: DataFrame, columns: Sequence[str] = MONEY_COLUMNS) -> DataFrame:
     """Amount text without ``,``, ``$`` and white space as double; unparsable is null."""
     present = [c for c in columns if c in df.columns]
-    return df.withColumns({c: X.to_double(X.remove(F.col(c).cast("string"), ",", "$")) for c in present})
+    return df.withColumns({c: X.to_double(F.col(c).cast("string")) for c in present})
 
 
 def money_floor(df: DataFrame, columns: Sequence[str] = MONEY_COLUMNS) -> DataFrame:
@@ -75,13 +72,13 @@ def money_floor(df: DataFrame, columns: Sequence[str] = MONEY_COLUMNS) -> DataFr
 
 def normalize_types(df: DataFrame) -> DataFrame:
     """Stay, year and severity as integers, amounts not below zero."""
-    typed = {}
+    codes = [c for c in ("discharge_year", "apr_severity_of_illness_code") if c in df.columns]
+    parsed = {c: X.to_double(F.col(c).cast("string")) for c in codes}
     if "length_of_stay" in df.columns:
-        typed["length_of_stay"] = X.first_digits(F.col("length_of_stay").cast("string"))
-    for name in ("discharge_year", "apr_severity_of_illness_code"):
-        if name in df.columns:
-            typed[name] = X.whole(X.to_double(F.col(name).cast("string")), "smallint")
-    return money_floor(df.withColumns(typed)) if typed else money_floor(df)
+        parsed["length_of_stay"] = X.first_digits(F.col("length_of_stay").cast("string"))
+    df = df.withColumns(parsed) if parsed else df
+    typed = {c: X.whole(F.col(c), "smallint") for c in codes}
+    return money_floor(df.withColumns(typed) if typed else df)
 
 
 def handle_missing(df: DataFrame, fill: Mapping[str, object] | None = None) -> DataFrame:
@@ -128,13 +125,15 @@ def _counted(raw: DataFrame) -> DataFrame:
 
 def mark_invalid(raw: DataFrame) -> DataFrame:
     """Add ``invalid``: every required field is null once parsed. Judged before the text fill."""
+    year = "_year"
     parsed = {
         "length_of_stay": X.first_digits(F.col("length_of_stay")),
-        "discharge_year": X.whole(X.to_double(F.col("discharge_year")), "smallint"),
-        **{c: X.to_double(X.remove(F.col(c), ",", "$")) for c in MONEY_COLUMNS},
+        "discharge_year": X.whole(F.col(year), "smallint"),
+        **{c: X.to_double(F.col(c)) for c in MONEY_COLUMNS},
     }
-    present = [parsed.get(c, F.col(c)) for c in REQUIRED if c in raw.columns]
-    return raw.withColumn("invalid", F.coalesce(*[c.cast("string") for c in present]).isNull())
+    present = [parsed.get(c, F.col(c)) for c in REQUIRED]
+    rows = raw.withColumn(year, X.to_double(F.col("discharge_year")))
+    return rows.withColumn("invalid", F.coalesce(*[c.cast("string") for c in present]).isNull()).drop(year)
 
 
 def clean_stats(raw: DataFrame) -> DataFrame:

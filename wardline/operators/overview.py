@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardline.operators.aggregate import DIMENSIONS, apply_filters
+from wardline.operators.aggregate import DIMENSIONS, aggregate, apply_filters, share_of, summary
 
 UNLABELLED = "未标注"
 # Overview section, its dimension, its number of rows.
@@ -58,10 +58,16 @@ def _additive() -> list[Column]:
     return out
 
 
-def merge_profile(profile: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Add the sums of finer groups."""
+def with_all_years(profile: DataFrame) -> DataFrame:
+    """Add, to groups by year, the same groups over all years (``whole``), from the small result."""
     names = [c for c in profile.columns if c == "count" or c.startswith(("sum_", "n_"))]
-    return profile.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in names])
+    keys = ["dimension", "dimension_value"]
+    sets = [[*keys, "in_year"], keys]
+    columns = [[F.col(c) for c in group] for group in sets]
+    merged = profile.groupingSets(columns, *keys, "in_year").agg(
+        *[F.sum(c).alias(c) for c in names], (F.grouping("in_year") == 1).alias("whole")
+    )
+    return merged.where(F.col("whole") | F.col("in_year").isNotNull())
 
 
 def profile_metrics() -> dict[str, Column]:
@@ -96,44 +102,36 @@ def ranked(profile: DataFrame, keys: Sequence[str], most: int) -> DataFrame:
 def overview(df: DataFrame, filters: Mapping | None = None) -> DataFrame:
     """All overview sections in one long table: ``section, rank, dimension_value``, metrics.
 
-    The summary row has rank 0; metrics a section does not show are null.
+    The summary row has rank 0; metrics a section does not show are null. One scan serves all
+    sections, one of three columns the summary, and one of no column the share's total.
     """
-    wanted = [d for _, d, _ in SECTIONS]
-    profile = long_profile(apply_filters(df, filters), [*wanted, "hospital"])
-    # Every row is in exactly one hospital group, so the hospital part holds the totals.
-    hospital = profile.where("dimension = 'hospital'")
-    present = F.col("dimension_value").isNotNull() & (F.col("dimension_value") != "")
-    totals = hospital.agg(
-        F.coalesce(F.sum("count"), F.lit(0)).alias("count"),
-        F.count(F.when(present, 1)).alias("facilities"),
-        *[F.sum(c).alias(c) for c in ("sum_stay", "n_stay", "sum_charges", "n_charges")],
-    )
-    metrics = profile_metrics()
-    stay, charges = metrics["avg_length_of_stay"], metrics["avg_total_charges"]
-    head = totals.select(
-        F.lit("summary").alias("section"), F.lit(0).alias("rank"), F.lit(None).cast("string").alias("dimension_value"),
-        "count", stay.alias("avg_length_of_stay"), charges.alias("avg_total_charges"),
-        F.lit(None).cast("double").alias("ratio"), "facilities",
-        metrics["sum_total_charges"].alias("total_charges"),
+    rows = apply_filters(df, filters)
+    none, metrics = F.lit(None), profile_metrics()
+    head = summary(rows).select(
+        F.lit("summary").alias("section"), F.lit(0).alias("rank"), none.cast("string").alias("dimension_value"),
+        F.col("discharges").alias("count"), "avg_length_of_stay", "avg_total_charges",
+        none.cast("double").alias("ratio"), "facilities", "total_charges",
     )
-    section, limit = F.lit(None).cast("string"), F.lit(0)
-    for name, dimension, rows in SECTIONS:
+    section, limit = none.cast("string"), F.lit(0)
+    for name, dimension, most in SECTIONS:
         here = F.col("dimension") == dimension
-        section, limit = F.when(here, name).otherwise(section), F.when(here, rows).otherwise(limit)
+        section, limit = F.when(here, name).otherwise(section), F.when(here, most).otherwise(limit)
 
     def shown(metric: str, value: Column) -> Column:
-        return F.when(F.col("section").isin(*[s for s, m in SECTION_METRICS.items() if metric in m]), value).alias(metric)
+        sections = [s for s, m in SECTION_METRICS.items() if metric in m]
+        return F.when(F.col("section").isin(*sections), value).alias(metric)
 
-    total = hospital.agg(F.sum("count").cast("double").alias("t")).scalar()
-    share = F.round(F.col("count").cast("double") / total, 6)
+    profile = long_profile(rows, [d for _, d, _ in SECTIONS])
     body = (
-        ranked(profile.where(F.col("dimension").isin(*wanted)), ["dimension"], max(n for _, _, n in SECTIONS))
+        ranked(profile, ["dimension"], max(most for _, _, most in SECTIONS))
         .withColumn("section", section)
         .where(F.col("rank") <= limit)
         .select(
-            "section", "rank", "dimension_value", "count", shown("avg_length_of_stay", stay),
-            shown("avg_total_charges", charges), shown("ratio", share),
-            F.lit(None).cast("bigint").alias("facilities"), F.lit(None).cast("double").alias("total_charges"),
+            "section", "rank", "dimension_value", "count",
+            shown("avg_length_of_stay", metrics["avg_length_of_stay"]),
+            shown("avg_total_charges", metrics["avg_total_charges"]),
+            shown("ratio", share_of(rows)),
+            none.cast("bigint").alias("facilities"), none.cast("double").alias("total_charges"),
         )
     )
     return head.unionByName(body)
@@ -156,17 +154,19 @@ def top_group(rows: DataFrame) -> DataFrame:
 
 
 def segments(df: DataFrame) -> DataFrame:
-    """Three patient segments: top age group, top disease, high severity."""
-    profile = long_profile(df, ["age_group", "disease", "severity"])
-    ages = ranked(profile.where("dimension = 'age_group'"), ["dimension"], 10)
-    diseases = ranked(profile.where("dimension = 'disease'"), ["dimension"], 8)
-    severity = profile.where("dimension = 'severity'")
+    """Three patient segments: top age group, top disease, high severity.
+
+    Each reads one column, so three scans read no more than a joint one.
+    """
+    ages = aggregate(df, "age_group", ["count"], 10)
+    diseases = aggregate(df, "disease", ["count"], 8)
+    severity = df.groupBy(F.col(DIMENSIONS["severity"]).alias("dimension_value")).agg(F.count("*").alias("count"))
 
     def top(rows: DataFrame, segment: str) -> DataFrame:
-        # Rank 1 is the top group; the share is taken within the rows shown.
+        first = F.struct(-F.col("count"), "dimension_value")
         return rows.agg(
             F.lit(segment).alias("segment"),
-            F.max(F.when(F.col("rank") == 1, F.col("dimension_value"))).alias("detail"),
+            F.min_by("dimension_value", first).alias("detail"),
             F.max("count").alias("count"),
             (100 * F.try_divide(F.max("count").cast("double"), F.sum("count").cast("double"))).alias("percent"),
         )

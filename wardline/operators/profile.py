@@ -115,7 +115,7 @@ def newborn_context(mdc_codes: Sequence[str] = NEWBORN_MDC, drg_codes: Sequence[
 
 def context_weight(mdc_codes: Sequence[str] = NEWBORN_MDC, drg_codes: Sequence[str] = ()) -> Column:
     grams = X.to_int(F.col("birth_weight"))
-    usable = newborn_context(mdc_codes, drg_codes) & (grams > 0) & (grams <= HEAVIEST_BIRTH)
+    usable = newborn_context(mdc_codes, drg_codes) & grams.between(1, HEAVIEST_BIRTH)
     return F.when(usable, grams)
 
 
@@ -136,13 +136,13 @@ def anomaly_rules(last_year: int, first_year: int = 1900) -> dict[str, Column]:
     """Rule name to violation, over raw text. A blank value is missing, not invalid."""
 
     def filled(c: str) -> Column:
-        return X.blank_to_null(F.col(c)).isNotNull()
+        return F.trim(F.col(c)) != ""
 
     def not_whole(c: str, low: int, high: int) -> Column:
         return filled(c) & ~F.coalesce(X.to_int(F.col(c)).between(low, high), F.lit(False))
 
     def amount(c: str) -> Column:
-        return X.to_decimal(X.remove(F.col(c), ",", "$"))
+        return X.to_decimal(F.col(c))
 
     stay = X.to_int(X.remove(F.col("length_of_stay"), " +", "+"))
     return {

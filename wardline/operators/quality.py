@@ -37,7 +37,7 @@ def row_marks(columns: Sequence[str], last_year: int) -> dict[str, tuple[Column,
     """Score name to (marks a row earns, marks it could earn); absent columns do not count."""
     text = {c: F.col(c).cast("string") for c in columns}
     complete = [X.one(text[c] != "") for c in REQUIRED if c in text]
-    accurate = [X.one(X.to_double(X.remove(text[c], ",")) >= 0) for c in NUMBER_FIELDS if c in text]
+    accurate = [X.one(X.plain_double(text[c]) >= 0) for c in NUMBER_FIELDS if c in text]
     consistent = [
         X.one(F.coalesce(text[c], F.lit("")).isin(*codes)) for c, codes in VALID_CODES.items() if c in text
     ]

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from wardline.functions.identity import row_hash
 from wardline.operators import cleaning, quality
 from wardline.schema import NAMES, TYPED
+from wardline.session import new_folder, tune
 from wardline.sources import ledger, readers, store
 
 PROFILES = ("strict", "relaxed")
@@ -58,25 +59,28 @@ def ingest(
 ) -> dict:
     """Load one source into the table at ``target`` and return the counters and scores."""
     began = time.perf_counter()
+    tune(spark)
     last_year = last_year or dt.datetime.now(dt.timezone.utc).year
-    raw = readers.project_canonical(readers.read_source(spark, source, multiline=multiline))
-    if not truncate and not dry_run:
-        store.refuse_if_filled(spark, target)
-    rows = cleaned_table(raw, profile)
+    marked = readers.read_source(spark, source, multiline=multiline, keep_corrupt=True)
     if dry_run:
-        counters = _counters(raw, rows, profile)
+        raw = _good(marked, source)
+        rows = cleaned_table(raw, profile)
         scores = _scores(raw, rows, profile, last_year)
-        return {**counters, "quality": scores, "dry_run": True, "source": source}
+        return {**_counters(raw, rows, profile), "quality": scores, "dry_run": True, "source": source}
 
+    if not truncate:
+        store.refuse_if_filled(spark, target)
     run = run_id if run_id is not None else int(time.time() * 1000)
     audit = {"run_id": run, "source_file": source, "started_at": ledger.now()}
     _event(spark, ledger_path, audit, event_seq=0, status="running")
     try:
-        rejected = 0
-        if readers.source_format(source) != "json":
-            marked = readers.read_source(spark, source, multiline=multiline, keep_corrupt=True)
-            rejected = readers.check_rejects(readers.bad_record_counts(marked, _separator(source)), most_rejects)
-        store.write_fact(store.to_fact(rows), target, "overwrite" if truncate else "append", rebalance)
+        # The text is parsed once into a columnar staging table; every later step reads that.
+        staged = new_folder(spark, "stage")
+        marked.write.parquet(staged)
+        marked = spark.read.schema(marked.schema).parquet(staged)
+        rejected = readers.check_rejects(_bad_records(marked, source), most_rejects)
+        raw = _good(marked, source)
+        store.write_fact(store.to_fact(cleaned_table(raw, profile)), target, "overwrite" if truncate else "append", rebalance)
         fact = store.read_fact(spark, target)
         counters = _counters(raw, fact, profile)
         scores = _scores(raw, fact, profile, last_year)
@@ -93,8 +97,18 @@ def ingest(
             "run_id": run, "elapsed_seconds": elapsed}
 
 
-def _separator(source: str) -> str:
-    return readers.SEPARATORS[readers.source_format(source)]
+def _good(marked: DataFrame, source: str) -> DataFrame:
+    fmt = readers.source_format(source)
+    if fmt == "json":
+        return readers.project_canonical(marked.where(F.col(readers.CORRUPT).isNull()))
+    return readers.project_canonical(readers.split_bad_records(marked, readers.SEPARATORS[fmt])[0])
+
+
+def _bad_records(marked: DataFrame, source: str) -> DataFrame:
+    fmt = readers.source_format(source)
+    if fmt == "json":
+        return marked.agg(F.count(readers.CORRUPT).alias("rejected"))
+    return readers.bad_record_counts(marked, readers.SEPARATORS[fmt])
 
 
 def _event(spark, path, audit, **event) -> None:

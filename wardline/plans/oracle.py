@@ -15,8 +15,8 @@ NAME_LIST = ", ".join(NAMES)
 
 
 def _hash(columns: list[str]) -> str:
-    parts = [f"coalesce(length(cast({c} as varchar)) || ':' || cast({c} as varchar), '-')" for c in columns]
-    return "sha256(" + " || ".join(parts) + ")"
+    parts = [f"coalesce(cast({c} as varchar), chr(30))" for c in columns]
+    return "sha256(concat_ws(chr(31), " + ", ".join(parts) + "))"
 
 
 def _quote(text: str) -> str:
@@ -499,7 +499,7 @@ def _money(c: str) -> str:
 
 
 def _strict_columns(names) -> str:
-    return "select permanent_facility_id, " + ", ".join(f"{STRICT[n]} as clean_{n}" for n in names) + " from raw"
+    return f"select {STRICT['permanent_facility_id']} as facility, " + ", ".join(f"{STRICT[n]} as {n}" for n in names) + " from raw"
 
 
 def _whole(c: str, dtype: str = "smallint") -> str:
@@ -531,7 +531,7 @@ def oracle_sql() -> dict[str, str]:
     newest = "select * from ledger where run_id = (select max(run_id) from ledger) qualify row_number() over (partition by run_id order by event_seq desc) = 1"
     iso = "strftime({}, '%Y-%m-%dT%H:%M:%S')".format
     sql = {
-        "scan_csv": on_raw("select * from raw"),
+        "scan_csv": on_raw("select " + ", ".join(f"nullif({n}, '') as {n}" for n in NAMES) + " from raw"),
         "scan_jsonl": on_raw("select * from raw"),
         "project_canonical": on_raw("select * from raw"),
         "stream_ingest": on_fact("select row_hash, discharge_year, facility_name, length_of_stay, total_charges, total_costs from fact"),

@@ -17,7 +17,7 @@ from wardline.operators import questions as Q
 from wardline.plans import incremental, tables
 from wardline.plans.ingest import reconcile
 from wardline.schema import HEADER_TO_NAME, NAMES, RAW_SCHEMA, TEXT_COLUMNS
-from wardline.session import new_folder
+from wardline.session import new_folder, tune
 from wardline.sources import ledger, readers
 from wardline.streaming import ingest as stream
 
@@ -114,8 +114,8 @@ def ledger_latest(spark: SparkSession, d: str) -> DataFrame:
 
 def _strict(names: list[str]) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        expressions = cleaning.strict_expressions()
-        return _stage(spark, d).select("permanent_facility_id", *[expressions[n].alias(f"clean_{n}") for n in names])
+        rows = cleaning.strict_rows(_stage(spark, d))
+        return rows.select(F.col("permanent_facility_id").alias("facility"), *names)
 
     return run
 
@@ -369,7 +369,11 @@ def queries() -> dict[str, Query]:
         "ml_score": ml_score,
     }
     q.update({f"bench_{name}": _on_fact(build) for name, build in BENCH.items()})
-    return q
+    return {name: _tuned(query) for name, query in q.items()}
+
+
+def _tuned(query: Query) -> Query:
+    return lambda spark, d: query(tune(spark), d)
 
 
 BENCH: dict[str, Callable[[DataFrame], DataFrame]] = {

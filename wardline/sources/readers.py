@@ -76,7 +76,7 @@ def read_source(
 
     ``expected`` is the contract to hold the header to (``None`` skips it). The first file's
     header order is the schema, and every further file is checked against it while it is read.
-    Short rows are padded with nulls and long rows are left out; ``keep_corrupt`` keeps both with
+    Empty fields of delimited files are null. Short rows are padded with nulls and long rows are left out; ``keep_corrupt`` keeps both with
     their text in ``_corrupt`` for :func:`split_bad_records`.
     """
     fmt = fmt or source_format(path)
@@ -123,8 +123,10 @@ def bad_record_counts(rows: DataFrame, separator: str = ",") -> DataFrame:
     """One row: records read, short ones (padded) and long ones (rejected)."""
     width = len(rows.columns) - 1
     fields = field_count(F.col(CORRUPT), separator)
+    # Spark refuses to read the corrupt text alone, so the records are counted on a data column.
+    first = F.col(rows.columns[0])
     return rows.agg(
-        F.count("*").alias("records"),
+        (F.count(first) + F.count(F.when(first.isNull(), 1))).alias("records"),
         F.count(F.when(fields < width, 1)).alias("padded"),
         F.count(F.when(fields > width, 1)).alias("rejected"),
     )

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from wardline.operators import cleaning, quality
 from wardline.plans.ingest import cleaned_table
 from wardline.schema import FACT_SCHEMA, LEDGER_SCHEMA, PARTITION_COLUMN
+from wardline.session import tune
 from wardline.sources import ledger, readers, store
 
 STREAM_FACT = T.StructType(FACT_SCHEMA.fields + [T.StructField("batch_id", T.LongType())])
@@ -118,6 +119,7 @@ def ingest_stream(
 
     ``max_batches`` ends the run early for trials. Returns the table so far.
     """
+    tune(spark)
     last_year = last_year or dt.datetime.now(dt.timezone.utc).year
     done = [0]
 
