@@ -40,52 +40,55 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def profile_columns(df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = False) -> DataFrame:
-    """Per column: missing, missing rate, distinct values, and count/min/mean/max/std of numbers.
+    """Per column: rows, missing, missing rate, distinct values, and count/min/mean/max/std of numbers.
 
-    Exact distinct counts come from the value groups; ``approximate`` uses sketches in one
-    aggregate without any large shuffle.
+    The exact form counts the value groups of every column. ``approximate`` takes sketches for the
+    distinct values instead, in one aggregate without any large shuffle.
     """
     columns = list(columns or df.columns)
     numbers = _numeric(df, columns)
-    aggregates = [F.count("*").alias("rows")]
-    for i, c in enumerate(columns):
-        aggregates.append(F.count(c).alias(f"c{i}"))
-        if approximate:
-            aggregates.append(F.approx_count_distinct(c).alias(f"d{i}"))
-        if c in numbers:
-            value = F.col(c).cast("double")
-            aggregates += [
-                F.min(c).cast("double").alias(f"min{i}"),
-                F.max(c).cast("double").alias(f"max{i}"),
-                F.try_divide(F.sum(c).cast("double"), F.count(c).cast("double")).alias(f"mean{i}"),
-                F.stddev_samp(value).alias(f"std{i}"),
-            ]
-    wide = df.agg(*aggregates)
-
-    def pick(kind: str, i: int, c: str) -> Column:
-        return F.col(f"{kind}{i}") if c in numbers else F.lit(None).cast("double")
-
-    cells = [
-        F.struct(
-            F.lit(c).alias("column_name"),
-            F.col("rows"),
-            (F.col("rows") - F.col(f"c{i}")).alias("missing"),
-            X.ratio(F.col("rows") - F.col(f"c{i}"), F.col("rows")).alias("missing_rate"),
-            (F.col(f"d{i}") if approximate else F.lit(None).cast("bigint")).alias("distinct_values"),
-            F.when(F.lit(c in numbers), F.col(f"c{i}")).alias("number_count"),
-            pick("min", i, c).alias("min"),
-            pick("mean", i, c).alias("mean"),
-            pick("max", i, c).alias("max"),
-            pick("std", i, c).alias("std"),
-        )
-        for i, c in enumerate(columns)
-    ]
-    profile = wide.select(F.explode(F.array(*cells)).alias("p")).select("p.*")
     if approximate:
-        return profile
-    distinct = value_counts(df, columns).groupBy("column_name").agg(F.count("value").alias("distinct_values"))
-    joined = profile.drop("distinct_values").join(distinct, "column_name", "left")
-    return joined.withColumn("distinct_values", F.coalesce("distinct_values", F.lit(0))).select(*profile.columns)
+        wide = df.agg(
+            F.count("*").alias("rows"),
+            *[F.struct(F.count(c).alias("n"), F.approx_count_distinct(c).alias("d")).alias(c) for c in columns],
+        )
+        cells = [F.struct(F.lit(c).alias("column_name"), "rows", f"{c}.n", f"{c}.d") for c in columns]
+        base = wide.select(F.explode(F.array(*cells)).alias("p")).select(
+            "p.column_name", "p.rows", (F.col("p.rows") - F.col("p.n")).alias("missing"), F.col("p.d").alias("distinct_values")
+        )
+    else:
+        base = (
+            value_counts(df, columns)
+            .groupBy("column_name")
+            .agg(
+                F.sum("count").alias("rows"),
+                F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("count"))), F.lit(0)).alias("missing"),
+                F.count("value").alias("distinct_values"),
+            )
+        )
+    base = base.withColumn("missing_rate", X.ratio(F.col("missing"), F.col("rows")))
+    stats = _number_stats(df, numbers) if numbers else None
+    names = ["number_count", "min", "mean", "max", "std"]
+    if stats is None:
+        return base.withColumns({n: F.lit(None).cast("double") for n in names})
+    return base.join(F.broadcast(stats), "column_name", "left")  # one row per numeric column
+
+
+def _number_stats(df: DataFrame, numbers: Sequence[str]) -> DataFrame:
+    wide = df.agg(
+        *[
+            F.struct(
+                F.lit(c).alias("column_name"),
+                F.count(c).alias("number_count"),
+                F.min(c).cast("double").alias("min"),
+                F.try_divide(F.sum(c).cast("double"), F.count(c).cast("double")).alias("mean"),
+                F.max(c).cast("double").alias("max"),
+                F.stddev_samp(F.col(c).cast("double")).alias("std"),
+            ).alias(c)
+            for c in numbers
+        ]
+    )
+    return wide.select(F.explode(F.array(*numbers)).alias("p")).select("p.*")
 
 
 def top_values(df: DataFrame, columns: Sequence[str] = TOP_VALUE_COLUMNS, most: int = 10) -> DataFrame:

@@ -26,6 +26,9 @@ FIRST_YEAR = 2000
 SCORES = ["completeness", "accuracy", "consistency", "timeliness"]
 
 
+SUM_COLUMNS = ["rows", "distinct_rows", *[f"{n}_{k}" for n in SCORES for k in ("marks", "possible")]]
+
+
 def _sum(marks: Sequence[Column]) -> Column:
     total = F.lit(0).cast("bigint")
     for mark in marks:
@@ -90,10 +93,7 @@ def quality_sums(raw: DataFrame, last_year: int, by: Sequence[str] = ()) -> Data
 
 def merge_sums(sums: DataFrame) -> DataFrame:
     """Add the sums of several chunks; distinct rows are then counted per chunk."""
-    return sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums.columns if c in _SUM_COLUMNS])
-
-
-_SUM_COLUMNS = {"rows", "distinct_rows", *[f"{n}_{k}" for n in SCORES for k in ("marks", "possible")]}
+    return sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in SUM_COLUMNS])
 
 
 def report(sums: DataFrame) -> DataFrame:

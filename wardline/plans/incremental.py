@@ -13,7 +13,7 @@ def staged_table(spark: SparkSession, raw: DataFrame, profile: str = "strict") -
     """The cleaned distinct rows, written once: the year list, the join and a retry all read this copy."""
     side = new_folder(spark, "incoming")
     store.to_fact(cleaned_table(raw, profile)).write.parquet(side)
-    return spark.read.parquet(side)
+    return store.read_fact(spark, side)
 
 
 def insert_new(spark: SparkSession, raw: DataFrame, target: str, profile: str = "strict") -> int:

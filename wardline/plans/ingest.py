@@ -100,7 +100,7 @@ def ingest(
 def _good(marked: DataFrame, source: str) -> DataFrame:
     fmt = readers.source_format(source)
     if fmt == "json":
-        return readers.project_canonical(marked.where(F.col(readers.CORRUPT).isNull()))
+        return readers.project_canonical(readers.drop_broken_json(marked))
     return readers.project_canonical(readers.split_bad_records(marked, readers.SEPARATORS[fmt])[0])
 
 

@@ -19,6 +19,7 @@ from wardline.schema import FACT_SCHEMA, LEDGER_SCHEMA, PARTITION_COLUMN
 from wardline.session import tune
 from wardline.sources import ledger, readers, store
 
+SUMS = T.StructType([T.StructField(n, T.LongType()) for n in (*quality.SUM_COLUMNS, "batch_id")])
 STREAM_FACT = T.StructType(FACT_SCHEMA.fields + [T.StructField("batch_id", T.LongType())])
 
 
@@ -48,7 +49,7 @@ def read_stream_fact(spark: SparkSession, target: str) -> DataFrame:
 
 
 def read_sums(spark: SparkSession, target: str) -> DataFrame:
-    return spark.read.parquet(f"{target}/quality")
+    return store.read_fact(spark, f"{target}/quality", SUMS)
 
 
 def read_stream_ledger(spark: SparkSession, target: str) -> DataFrame:
@@ -72,7 +73,7 @@ def process_batch(
     batch = batch.persist(StorageLevel.MEMORY_AND_DISK)  # parsed once, read by three jobs
     try:
         if fmt == "json":
-            good = batch.where(F.col(readers.CORRUPT).isNull()).drop(readers.CORRUPT)
+            good = readers.drop_broken_json(batch)
         else:
             good, _ = readers.split_bad_records(batch, readers.SEPARATORS[fmt])
         raw = readers.project_canonical(good)
@@ -84,7 +85,7 @@ def process_batch(
     finally:
         batch.unpersist()
     earlier = read_stream_fact(spark, target).where(F.col("batch_id") < batch_id)
-    new = store.absent_rows(spark.read.parquet(incoming), earlier).select(*FACT_SCHEMA.names)
+    new = store.absent_rows(store.read_fact(spark, incoming), earlier).select(*FACT_SCHEMA.names)
     new.write.mode("overwrite").partitionBy(PARTITION_COLUMN).parquet(f"{target}/fact/batch_id={batch_id}")
     _batch_event(spark, target, batch_id, run_id, source)
 
