@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,8 +48,8 @@ def answer_book(fact: DataFrame, dimensions: Sequence[str] = tuple(DIMENSION_RUL
     return lists.join(totals, same).select("dimension", F.col("in_year").cast("int").alias("year"), "groups", "total")
 
 
-def answer(tagged: DataFrame, fact: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per question and group: rank, value and the metrics the question asks for.
+def _asked_groups(tagged: DataFrame, fact: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Each accepted question with its intent, ``shown`` (its groups up to the limit) and ``total``.
 
     Most questions share a few (dimension, year) pairs. The answer table is written first: Spark
     then knows its size and broadcasts it where that is below its threshold, so that a hot pair
@@ -62,19 +62,33 @@ def answer(tagged: DataFrame, fact: DataFrame, keys: Sequence[str]) -> DataFrame
     book = spark.read.parquet(path).withColumnsRenamed({"dimension": "b_dimension", "year": "b_year"})
     asked = tagged.where("accepted").select(*keys, "intent.*")
     same = (F.col("dimension") == F.col("b_dimension")) & F.col("year").eqNullSafe(F.col("b_year"))
-    found = asked.join(book, same)
-    shown = found.withColumn("g", F.explode(F.slice("groups", F.lit(1), F.col("limit"))))
-    metrics = [F.when(F.array_contains("metrics", m), F.col(f"g.{m}")).alias(m) for m in METRIC_NAMES]
+    found = asked.join(book, same, "left")
+    return found.withColumn("shown", F.slice("groups", F.lit(1), F.col("limit"))).drop("b_dimension", "b_year", "groups")
+
+
+def _shown_metrics(group: str) -> dict[str, Column]:
+    """The metrics of a group that the question asks for, and the ratio of a plain payment count."""
+    metrics = {m: F.when(F.array_contains("metrics", m), F.col(f"{group}.{m}")) for m in METRIC_NAMES}
     only_count = F.size(F.array_except("metrics", F.array(F.lit("count")))) == 0
-    share = F.round(F.col("g.count").cast("double") / F.col("total").cast("double"), 6)
-    return shown.select(
+    share = F.round(F.col(f"{group}.count").cast("double") / F.col("total").cast("double"), 6)
+    return {**metrics, "ratio": F.when((F.col("dimension") == "payment") & only_count, share)}
+
+
+def answer(tagged: DataFrame, fact: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per question and group: rank, value and the metrics the question asks for."""
+    rows = _asked_groups(tagged, fact, keys).withColumn("g", F.explode("shown"))
+    return rows.select(
         *keys, "dimension", "year", F.col("g.rank").alias("rank"), F.col("g.dimension_value").alias("dimension_value"),
-        *metrics, F.when((F.col("dimension") == "payment") & only_count, share).alias("ratio"),
+        *[c.alias(n) for n, c in _shown_metrics("g").items()],
     )
 
 
-def _grouped(count: Column) -> Column:
-    return F.format_number(count, 0)
+def answer_summaries(tagged: DataFrame, fact: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The summary sentence of each accepted question, from its array of groups: nothing is exploded or regrouped."""
+    rows = _asked_groups(tagged, fact, keys).withColumn("g", F.try_element_at("shown", F.lit(1)))
+    top = {n: c for n, c in _shown_metrics("g").items()}
+    text = sentence(F.col("dimension"), F.size("shown"), F.col("g.dimension_value"), top)
+    return rows.select(*keys, "dimension", text.alias("summary"))
 
 
 def dimension_label(c: Column) -> Column:
@@ -84,36 +98,39 @@ def dimension_label(c: Column) -> Column:
     return text
 
 
+def sentence(dimension: Column, groups: Column, value: Column, top: Mapping[str, Column]) -> Column:
+    """The summary of a result with ``groups`` rows whose first one is ``value`` with the ``top`` metrics."""
+    label = dimension_label(dimension)
+    named = F.coalesce(F.nullif(value, F.lit("")), F.lit(UNLABELLED))
+    count = F.format_number(F.coalesce(top.get("count", F.lit(None)), F.lit(0)), 0)
+    text = F.format_string(LEAD_SENTENCE, label, groups.cast("string"), named, count)
+    extra = {
+        "ratio": lambda c: F.format_string(RATIO_SENTENCE, plain_decimals(c * 100, 1)),
+        "avg_length_of_stay": lambda c: F.format_string(STAY_SENTENCE, plain_decimals(c, 1)),
+        "avg_total_charges": lambda c: F.format_string(CHARGE_SENTENCE, F.format_number(c, 0)),
+    }
+    for name, write in extra.items():
+        if name in top:
+            text = F.concat(text, F.coalesce(F.when(top[name].isNotNull(), write(top[name])), F.lit("")))
+    some = F.coalesce(groups, F.lit(0)) > 0
+    return F.when(some, text).otherwise(F.format_string(EMPTY_SENTENCE, label))
+
+
 def summarize(rows: DataFrame, keys: Sequence[str], sections: DataFrame | None = None) -> DataFrame:
     """A sentence per section of a long result (``keys``, ``dimension``, ``rank``, metrics).
 
     It describes the first row (rank 1); for years that is the earliest one. With ``sections``
     (the keys and ``dimension`` of every section asked for) an empty section says so.
     """
-    present = set(rows.columns)
-    values = ["dimension_value"] + [
-        c for c in ("count", "ratio", "avg_length_of_stay", "avg_total_charges") if c in present
-    ]
+    metrics = [c for c in ("count", "ratio", "avg_length_of_stay", "avg_total_charges") if c in rows.columns]
     groups = rows.groupBy(*keys, "dimension").agg(
-        F.count("*").alias("groups"), F.min_by(F.struct(*values), F.col("rank")).alias("top")
+        F.count("*").alias("groups"), F.min_by(F.struct("dimension_value", *metrics), F.col("rank")).alias("top")
     )
     if sections is not None:
         groups = sections.select(*keys, "dimension").join(groups, [*keys, "dimension"], "left")
-    label = dimension_label(F.col("dimension"))
-    value = F.coalesce(F.nullif(F.col("top.dimension_value"), F.lit("")), F.lit(UNLABELLED))
-    count = F.coalesce(F.col("top.count"), F.lit(0)) if "count" in values else F.lit(0)
-    text = F.format_string(LEAD_SENTENCE, label, F.col("groups").cast("string"), value, _grouped(count))
-    extra = {
-        "ratio": lambda c: F.format_string(RATIO_SENTENCE, plain_decimals(c * 100, 1)),
-        "avg_length_of_stay": lambda c: F.format_string(STAY_SENTENCE, plain_decimals(c, 1)),
-        "avg_total_charges": lambda c: F.format_string(CHARGE_SENTENCE, F.format_number(c, 0)),
-    }
-    for name, sentence in extra.items():
-        if name in values:
-            shown = F.when(F.col(f"top.{name}").isNotNull(), sentence(F.col(f"top.{name}")))
-            text = F.concat(text, F.coalesce(shown, F.lit("")))
-    empty = F.format_string(EMPTY_SENTENCE, label)
-    return groups.select(*keys, "dimension", F.when(F.coalesce("groups", F.lit(0)) == 0, empty).otherwise(text).alias("summary"))
+    top = {m: F.col(f"top.{m}") for m in metrics}
+    text = sentence(F.col("dimension"), F.col("groups"), F.col("top.dimension_value"), top)
+    return groups.select(*keys, "dimension", text.alias("summary"))
 
 
 def report_sections(fact: DataFrame, sections: Sequence[tuple[str, str, int]] = DEFAULT_SECTIONS) -> DataFrame:

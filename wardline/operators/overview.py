@@ -91,7 +91,7 @@ def ranked(profile: DataFrame, keys: Sequence[str], most: int) -> DataFrame:
 
     The constant bound lets Spark cut each section on the map side before the window's shuffle.
     """
-    year = F.when(F.col("dimension") == "year", F.col("dimension_value").cast("int"))
+    year = F.when(F.col("dimension") == "year", F.col("dimension_value").try_cast("int"))
     count = F.when(F.col("dimension") != "year", F.col("count"))
     window = Window.partitionBy(*keys).orderBy(
         year.asc_nulls_first(), count.desc_nulls_last(), F.col("dimension_value").asc_nulls_first()

@@ -239,9 +239,7 @@ def answer_batch(spark: SparkSession, d: str) -> DataFrame:
 
 
 def summary_text(spark: SparkSession, d: str) -> DataFrame:
-    tagged = _tagged(spark, d)
-    asked = tagged.where("accepted").select("conv_id", "turn", "intent.dimension")
-    return answers.summarize(answers.answer(tagged, _fact(spark, d), ["conv_id", "turn"]), ["conv_id", "turn"], asked)
+    return answers.answer_summaries(_tagged(spark, d), _fact(spark, d), ["conv_id", "turn"])
 
 
 # ---- cost model -------------------------------------------------------------------------------

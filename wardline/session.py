@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import shutil
 import tempfile
 import uuid
 
@@ -49,10 +48,19 @@ def shared_root(spark: SparkSession) -> str:
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if _local_root is None:
         _local_root = tempfile.mkdtemp(prefix="wardline-")
-        atexit.register(shutil.rmtree, _local_root, ignore_errors=True)
     return _local_root
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; it is removed when this process ends."""
+    path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path)
+    return path
+
+
+def _remove(jvm, hadoop_conf, path: str) -> None:
+    try:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(hadoop_conf).delete(target, True)
+    except Exception:  # noqa: BLE001 - the JVM may be gone already; a left-over folder does no harm
+        pass
