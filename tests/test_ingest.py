@@ -140,3 +140,11 @@ def test_stream_refuses_a_wrong_header(spark, tmp_path):
     (tmp_path / "a.csv").write_text("x,y\n1,2\n")
     with pytest.raises(ValueError, match="missing"):
         stream.ingest_stream(spark, str(tmp_path), str(tmp_path / "out"))
+
+
+def test_folder_of_files_with_a_given_format(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for i in range(2):
+        write_csv(tmp_path / "in" / f"{i}.csv", [line(), line(facility_name=str(i))])
+    out = ingest(spark, str(tmp_path / "in"), str(tmp_path / "fact"), fmt="csv")
+    assert (out["rows_read"], out["rows_inserted"]) == (4, 3)

@@ -58,7 +58,7 @@ def _asked_groups(tagged: DataFrame, fact: DataFrame, keys: Sequence[str]) -> Da
     """
     spark = fact.sparkSession
     path = new_folder(spark, "answers")
-    answer_book(fact).coalesce(1).write.parquet(path)
+    answer_book(fact).write.parquet(path)
     book = spark.read.parquet(path).withColumnsRenamed({"dimension": "b_dimension", "year": "b_year"})
     asked = tagged.where("accepted").select(*keys, "intent.*")
     same = (F.col("dimension") == F.col("b_dimension")) & F.col("year").eqNullSafe(F.col("b_year"))

@@ -48,6 +48,7 @@ def ingest(
     target: str,
     ledger_path: str | None = None,
     *,
+    fmt: str | None = None,
     profile: str = "strict",
     truncate: bool = False,
     dry_run: bool = False,
@@ -57,13 +58,17 @@ def ingest(
     run_id: int | None = None,
     rebalance: bool = False,
 ) -> dict:
-    """Load one source into the table at ``target`` and return the counters and scores."""
+    """Load one file or folder into the table at ``target`` and return the counters and scores.
+
+    ``fmt`` (csv, tsv, json) is needed where the path does not end in a known file ending.
+    """
     began = time.perf_counter()
     tune(spark)
     last_year = last_year or dt.datetime.now(dt.timezone.utc).year
-    marked = readers.read_source(spark, source, multiline=multiline, keep_corrupt=True)
+    fmt = fmt or readers.source_format(source)
+    marked = readers.read_source(spark, source, fmt, multiline=multiline, keep_corrupt=True)
     if dry_run:
-        raw = _good(marked, source)
+        raw = _good(marked, fmt)
         rows = cleaned_table(raw, profile)
         scores = _scores(raw, rows, profile, last_year)
         return {**_counters(raw, rows, profile), "quality": scores, "dry_run": True, "source": source}
@@ -78,8 +83,8 @@ def ingest(
         staged = new_folder(spark, "stage")
         marked.write.parquet(staged)
         marked = spark.read.schema(marked.schema).parquet(staged)
-        rejected = readers.check_rejects(_bad_records(marked, source), most_rejects)
-        raw = _good(marked, source)
+        rejected = readers.check_rejects(_bad_records(marked, fmt), most_rejects)
+        raw = _good(marked, fmt)
         store.write_fact(store.to_fact(cleaned_table(raw, profile)), target, "overwrite" if truncate else "append", rebalance)
         fact = store.read_fact(spark, target)
         counters = _counters(raw, fact, profile)
@@ -97,15 +102,13 @@ def ingest(
             "run_id": run, "elapsed_seconds": elapsed}
 
 
-def _good(marked: DataFrame, source: str) -> DataFrame:
-    fmt = readers.source_format(source)
+def _good(marked: DataFrame, fmt: str) -> DataFrame:
     if fmt == "json":
         return readers.project_canonical(readers.drop_broken_json(marked))
     return readers.project_canonical(readers.split_bad_records(marked, readers.SEPARATORS[fmt])[0])
 
 
-def _bad_records(marked: DataFrame, source: str) -> DataFrame:
-    fmt = readers.source_format(source)
+def _bad_records(marked: DataFrame, fmt: str) -> DataFrame:
     if fmt == "json":
         return marked.agg(F.count(readers.CORRUPT).alias("rejected"))
     return readers.bad_record_counts(marked, readers.SEPARATORS[fmt])
@@ -138,6 +141,7 @@ def main() -> None:
     parser.add_argument("--source", required=True)
     parser.add_argument("--target", required=True)
     parser.add_argument("--ledger")
+    parser.add_argument("--format", choices=sorted(set(readers.FORMATS.values())))
     parser.add_argument("--profile", choices=PROFILES, default="strict")
     parser.add_argument("--truncate", action="store_true", help="replace the table")
     parser.add_argument("--dry-run", action="store_true", help="clean and score without writing")
@@ -146,7 +150,7 @@ def main() -> None:
     spark = SparkSession.builder.appName("discharge-ingest").getOrCreate()
     result = ingest(
         spark, a.source, a.target, a.ledger, profile=a.profile, truncate=a.truncate, dry_run=a.dry_run,
-        multiline=not a.single_line,
+        multiline=not a.single_line, fmt=a.format,
     )
     print(json.dumps(result, default=str, indent=2))
 

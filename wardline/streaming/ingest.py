@@ -78,7 +78,7 @@ def process_batch(
             good, _ = readers.split_bad_records(batch, readers.SEPARATORS[fmt])
         raw = readers.project_canonical(good)
         sums = quality.quality_sums(cleaning.missing_tokens(raw), last_year)
-        sums.coalesce(1).write.mode("overwrite").parquet(f"{target}/quality/batch_id={batch_id}")
+        sums.write.mode("overwrite").parquet(f"{target}/quality/batch_id={batch_id}")
 
         incoming = f"{target}/incoming/batch_id={batch_id}"
         store.to_fact(cleaned_table(raw, profile)).write.mode("overwrite").parquet(incoming)
