@@ -217,3 +217,18 @@ def test_report(fact):
     assert content.index("患者年龄结构") < content.index("支付方式构成")
     with pytest.raises(ValueError):
         answers.report(fact, sections=[])
+
+
+def test_exact_sums_match_decimals(spark):
+    from wardline.functions.money import exact_mean, exact_sum
+
+    amounts = spark.range(1000).select(
+        F.when(F.col("id") % 7 > 0, F.when(F.col("id") % 5 == 0, F.lit("-0.01")).otherwise(F.lit("999999999999.99")))
+        .cast("decimal(14,2)")
+        .alias("total_costs")
+    )
+    row = amounts.agg(
+        exact_sum("total_costs").alias("s"), F.sum("total_costs").cast("double").alias("d"), exact_mean("total_costs").alias("m")
+    ).first()
+    assert row["s"] == row["d"] and row["m"] == pytest.approx(row["d"] / amounts.where("total_costs is not null").count())
+    assert amounts.limit(0).agg(exact_sum("total_costs")).first()[0] is None

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardline.functions.money import cents, high, joined, low
 from wardline.operators.aggregate import DIMENSIONS, aggregate, apply_filters, share_of, summary
 
 UNLABELLED = "未标注"
@@ -32,7 +33,15 @@ GENDER_LABELS = {"F": "女性", "M": "男性"}
 UNKNOWN_GENDER = "未知"
 HIGH_SEVERITY = r"(?i)major|extreme|重度|极重度"
 
-_MEASURES = {"stay": "length_of_stay", "charges": "total_charges", "costs": "total_costs"}
+_AMOUNTS = {"charges": "total_charges", "costs": "total_costs"}
+
+
+def _measures() -> dict[str, Column]:
+    """What is summed per group: the stay, and each amount in its two parts."""
+    out = {"stay": F.col("length_of_stay")}
+    for short, column in _AMOUNTS.items():
+        out[f"{short}_high"], out[f"{short}_low"] = high(cents(column)), low(cents(column))
+    return out
 
 
 def long_profile(df: DataFrame, dimensions: Sequence[str], by_year: bool = False) -> DataFrame:
@@ -41,23 +50,20 @@ def long_profile(df: DataFrame, dimensions: Sequence[str], by_year: bool = False
     The rows are unfolded once per dimension and folded again by the partial aggregate before the
     shuffle, so what is shuffled grows with the number of groups, not of rows.
     """
-    ids = [F.col(c) for c in _MEASURES.values()] + ([F.col("discharge_year").alias("in_year")] if by_year else [])
+    measures, year = _measures(), ["in_year"] if by_year else []
+    ids = [c.alias(n) for n, c in measures.items()] + [F.col("discharge_year").alias(y) for y in year]
     values = [F.col(DIMENSIONS[d]).cast("string").alias(f"_{d}") for d in dimensions]
     wide = df.select(*ids, *values)
-    id_names = [*_MEASURES.values()] + (["in_year"] if by_year else [])
-    long = wide.unpivot(id_names, [f"_{d}" for d in dimensions], "dimension", "dimension_value")
-    keys = ["dimension", "dimension_value"] + (["in_year"] if by_year else [])
-    sums = long.groupBy(*keys).agg(*_additive())
+    long = wide.unpivot([*measures, *year], [f"_{d}" for d in dimensions], "dimension", "dimension_value")
+    sums = long.groupBy("dimension", "dimension_value", *year).agg(
+        F.count("*").alias("count"),
+        *[F.sum(m).alias(f"sum_{m}") for m in measures],
+        F.count("stay").alias("n_stay"),
+        *[F.count(f"{a}_high").alias(f"n_{a}") for a in _AMOUNTS],
+    )
     return sums.withColumn("dimension", F.substring("dimension", 2, 64))
 
 
-def _additive() -> list[Column]:
-    out = [F.count("*").alias("count")]
-    for short, column in _MEASURES.items():
-        out += [F.sum(column).alias(f"sum_{short}"), F.count(column).alias(f"n_{short}")]
-    return out
-
-
 def with_all_years(profile: DataFrame) -> DataFrame:
     """Add, to groups by year, the same groups over all years (``whole``), from the small result."""
     names = [c for c in profile.columns if c == "count" or c.startswith(("sum_", "n_"))]
@@ -73,16 +79,19 @@ def with_all_years(profile: DataFrame) -> DataFrame:
 def profile_metrics() -> dict[str, Column]:
     """The six metrics out of the additive sums."""
 
-    def avg(short: str) -> Column:
-        return F.try_divide(F.col(f"sum_{short}").cast("double"), F.col(f"n_{short}").cast("double"))
+    def amount(short: str) -> Column:
+        return joined(F.col(f"sum_{short}_high"), F.col(f"sum_{short}_low"))
+
+    def mean(total: Column, short: str) -> Column:
+        return F.try_divide(total, F.col(f"n_{short}").cast("double"))
 
     return {
         "count": F.col("count"),
-        "avg_length_of_stay": avg("stay"),
-        "avg_total_charges": avg("charges"),
-        "sum_total_charges": F.col("sum_charges").cast("double"),
-        "avg_total_costs": avg("costs"),
-        "sum_total_costs": F.col("sum_costs").cast("double"),
+        "avg_length_of_stay": mean(F.col("sum_stay").cast("double"), "stay"),
+        "avg_total_charges": mean(amount("charges"), "charges"),
+        "sum_total_charges": amount("charges"),
+        "avg_total_costs": mean(amount("costs"), "costs"),
+        "sum_total_costs": amount("costs"),
     }
 
 
