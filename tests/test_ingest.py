@@ -2,7 +2,7 @@ import pytest
 from conftest import line, rows_of, write_csv
 
 from wardline.plans import incremental
-from wardline.plans.ingest import ingest
+from wardline.plans.ingest import cleaned_table, ingest, years_in
 from wardline.sources import ledger, store
 from wardline.streaming import ingest as stream
 
@@ -65,13 +65,13 @@ def test_second_insert_adds_nothing(spark, raw, tmp_path):
 def test_insert_reads_only_the_years_that_occur(spark, raw, tmp_path):
     target = str(tmp_path / "fact")
     incremental.insert_new(spark, raw({}, {"discharge_year": "2019"}), target)
-    new = incremental.staged_table(spark, raw({"gender": "M"}))
-    plan = store.absent_rows(new, fact(spark, target))._jdf.queryExecution().executedPlan().toString()
+    new = incremental.rows_to_insert(raw({"gender": "M"}), fact(spark, target))
+    plan = new._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "2021" in plan.split("PartitionFilters")[-1]
 
 
 def test_bucketed_store_is_not_shuffled(spark, raw, tmp_path):
-    table = incremental.staged_table(spark, raw({}, {"gender": "M"}))
+    table = store.to_fact(cleaned_table(raw({}, {"gender": "M"})))
     store.write_bucketed(table, "bucketed_fact", 4, str(tmp_path / "b"))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
@@ -148,3 +148,9 @@ def test_folder_of_files_with_a_given_format(spark, tmp_path):
         write_csv(tmp_path / "in" / f"{i}.csv", [line(), line(facility_name=str(i))])
     out = ingest(spark, str(tmp_path / "in"), str(tmp_path / "fact"), fmt="csv")
     assert (out["rows_read"], out["rows_inserted"]) == (4, 3)
+
+
+def test_years_follow_the_profile(raw):
+    frame = raw({"discharge_year": "2021"}, {"discharge_year": "2020.0"}, {"discharge_year": None})
+    assert sorted(years_in(frame), key=str) == [2021, None]
+    assert sorted(years_in(frame, "relaxed"), key=str) == [2020, 2021, None]

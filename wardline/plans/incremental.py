@@ -4,21 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.plans.ingest import cleaned_table
-from wardline.session import new_folder
+from wardline.plans.ingest import cleaned_table, years_in
 from wardline.sources import store
 
 
-def staged_table(spark: SparkSession, raw: DataFrame, profile: str = "strict") -> DataFrame:
-    """The cleaned distinct rows, written once: the year list, the join and a retry all read this copy."""
-    side = new_folder(spark, "incoming")
-    store.to_fact(cleaned_table(raw, profile)).write.parquet(side)
-    return store.read_fact(spark, side)
+def rows_to_insert(raw: DataFrame, stored: DataFrame, profile: str = "strict") -> DataFrame:
+    """Cleaned distinct rows of ``raw`` that the table does not hold."""
+    return store.absent_rows(cleaned_table(raw, profile), stored, years_in(raw, profile))
 
 
 def insert_new(spark: SparkSession, raw: DataFrame, target: str, profile: str = "strict") -> int:
-    """Append the rows the table does not hold and return how many; a second run adds none."""
+    """Append the rows the table does not hold and return how many; a second run adds none.
+
+    Cleaning, the identity join and the append are one job, which commits as a whole.
+    """
     stored = store.read_fact(spark, target)
     before = stored.count()
-    store.write_fact(store.absent_rows(staged_table(spark, raw, profile), stored), target)
+    store.write_fact(store.to_fact(rows_to_insert(raw, stored, profile)), target)
     return store.read_fact(spark, target).count() - before

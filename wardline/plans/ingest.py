@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions.identity import row_hash
 from wardline.operators import cleaning, quality
-from wardline.schema import NAMES, TYPED
+from wardline.schema import NAMES, PARTITION_COLUMN, TYPED
 from wardline.session import new_folder, tune
 from wardline.sources import ledger, readers, store
 
@@ -35,6 +35,14 @@ def cleaned_table(raw: DataFrame, profile: str = "strict") -> DataFrame:
     return cleaning.strict_table(raw) if profile == "strict" else as_table(cleaning.relaxed_table(raw))
 
 
+def years_in(raw: DataFrame, profile: str = "strict") -> list[int | None]:
+    """The cleaned years that occur in raw rows: a short list, a year is a two-byte integer."""
+    rows = cleaning.strict_rows(raw)
+    if profile == "relaxed":
+        rows = cleaning.normalize_types(cleaning.missing_tokens(raw.select(PARTITION_COLUMN)))
+    return [r[0] for r in rows.select(PARTITION_COLUMN).distinct().collect()]
+
+
 def reconcile(fact: DataFrame) -> DataFrame:
     """One row from the stored table: rows read, kept, dropped, and whether they add up."""
     read, kept = F.coalesce(F.sum("source_rows"), F.lit(0)), F.count("*")

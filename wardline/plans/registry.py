@@ -207,10 +207,8 @@ def cross_source_check(spark: SparkSession, d: str) -> DataFrame:
 
 def incremental_insert(spark: SparkSession, d: str) -> DataFrame:
     """All staged rows against a table that lacks one age group: only that group is new."""
-    from wardline.sources import store
-
     stored = _fact(spark, d).where(F.col("age_group") != "0 to 17")
-    new = store.absent_rows(incremental.staged_table(spark, _stage(spark, d)), stored)
+    new = incremental.rows_to_insert(_stage(spark, d), stored)
     return new.select("row_hash", "discharge_year", "age_group", "total_charges", "source_rows")
 
 

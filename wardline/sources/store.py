@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,15 +69,12 @@ def refuse_if_filled(spark: SparkSession, path: str) -> None:
         raise ValueError(f"the table already holds {fact.count():,} rows; reload it with truncate=True")
 
 
-def absent_rows(new: DataFrame, stored: DataFrame) -> DataFrame:
-    """Rows of ``new`` whose identity is not stored.
+def absent_rows(new: DataFrame, stored: DataFrame, years: Sequence[int | None]) -> DataFrame:
+    """Rows of ``new`` whose identity is not stored. ``years`` are the years that occur in ``new``.
 
-    The row hash covers the year, so only the years that occur in ``new`` are read from the
-    store. Their list is small: a year is a two-byte integer.
+    The row hash covers the year, so only those years' hashes are read from the store.
     """
-    years = [r[0] for r in new.select(PARTITION_COLUMN).distinct().collect()]
-    known = [y for y in years if y is not None]
-    wanted = F.col(PARTITION_COLUMN).isin(known)
+    wanted = F.col(PARTITION_COLUMN).isin([y for y in years if y is not None])
     if None in years:
         wanted = wanted | F.col(PARTITION_COLUMN).isNull()
     return new.join(stored.where(wanted).select("row_hash"), "row_hash", "left_anti")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardline.operators import cleaning, quality
-from wardline.plans.ingest import cleaned_table
+from wardline.plans.incremental import rows_to_insert
 from wardline.schema import FACT_SCHEMA, LEDGER_SCHEMA, PARTITION_COLUMN
 from wardline.session import tune
 from wardline.sources import ledger, readers, store
@@ -80,13 +80,11 @@ def process_batch(
         sums = quality.quality_sums(cleaning.missing_tokens(raw), last_year)
         sums.write.mode("overwrite").parquet(f"{target}/quality/batch_id={batch_id}")
 
-        incoming = f"{target}/incoming/batch_id={batch_id}"
-        store.to_fact(cleaned_table(raw, profile)).write.mode("overwrite").parquet(incoming)
+        earlier = read_stream_fact(spark, target).where(F.col("batch_id") < batch_id)
+        new = store.to_fact(rows_to_insert(raw, earlier, profile))
+        new.write.mode("overwrite").partitionBy(PARTITION_COLUMN).parquet(f"{target}/fact/batch_id={batch_id}")
     finally:
         batch.unpersist()
-    earlier = read_stream_fact(spark, target).where(F.col("batch_id") < batch_id)
-    new = store.absent_rows(store.read_fact(spark, incoming), earlier).select(*FACT_SCHEMA.names)
-    new.write.mode("overwrite").partitionBy(PARTITION_COLUMN).parquet(f"{target}/fact/batch_id={batch_id}")
     _batch_event(spark, target, batch_id, run_id, source)
 
 
