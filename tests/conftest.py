@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from wardline.schema import CLEAN_SCHEMA, HEADERS, NAMES, RAW_SCHEMA  # noqa: E402
+from wardline.schema import HEADERS, NAMES, RAW_SCHEMA  # noqa: E402
 from wardline.session import local_session  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -76,6 +76,3 @@ def stage(spark):
 
 def rows_of(df):
     return sorted((tuple(r) for r in df.collect()), key=repr)
-
-
-__all__ = ["CLEAN_SCHEMA", "line", "record", "rows_of", "write_csv"]

@@ -30,6 +30,8 @@ def test_strict_load_and_guard(spark, source, tmp_path):
         ingest(spark, source, target)
     again = ingest(spark, source, target, truncate=True)
     assert again["rows_inserted"] == 3 and fact(spark, target).count() == 3
+    store.truncate(spark, target)
+    assert fact(spark, target).isEmpty()
 
 
 def test_relaxed_load(spark, source, tmp_path):
