@@ -2,6 +2,36 @@
 
 from __future__ import annotations
 
+# Every run of lines with 50 words is the union of its shortest windows, forward from a line and backward from it;
+# a window whose text stands at an earlier place marks its lines. Written out by self-join inside each document.
+LINE_DEDUP = r"""
+WITH raw AS (
+  SELECT doc_id, text, list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^ \t\n\x0B\f\r]')) AS ls FROM documents
+), l AS (
+  SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM raw
+), w AS (
+  SELECT doc_id, i, line, len(regexp_extract_all(line, '[^ \t\n\x0B\f\r]+')) AS n,
+         sum(len(regexp_extract_all(line, '[^ \t\n\x0B\f\r]+'))) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM l
+), spans AS (
+  SELECT a.doc_id, a.i AS s, min(b.i) AS e FROM w a JOIN w b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.upto - a.upto + a.n >= 50 GROUP BY 1, 2
+  UNION
+  SELECT b.doc_id, max(a.i) AS s, b.i AS e FROM w a JOIN w b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.upto - a.upto + a.n >= 50 GROUP BY 1, 3
+), body AS (
+  SELECT p.doc_id, p.s, p.e, md5(list_aggregate(list_slice(r.ls, p.s, p.e), 'string_agg', chr(10))) AS h FROM spans p JOIN raw r USING (doc_id)
+), firsts AS (
+  SELECT h, min((doc_id, s)) AS first FROM body GROUP BY h
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(s, e + 1)) AS i FROM body JOIN firsts USING (h) WHERE (doc_id, s) > first
+), dropped AS (
+  SELECT doc_id, list(i) AS g FROM gone GROUP BY 1
+)
+SELECT r.doc_id,
+       CASE WHEN g IS NULL THEN r.text
+            ELSE coalesce(list_aggregate(list_transform(list_filter(range(1, len(ls) + 1), x -> NOT list_contains(g, x)), x -> ls[x]), 'string_agg', chr(10)), '') END AS text,
+       len(ls)::BIGINT AS n_lines, coalesce(len(g), 0)::BIGINT AS n_removed
+FROM raw r LEFT JOIN dropped USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_line_dedup": LINE_DEDUP}
