@@ -11,6 +11,7 @@ from wardline.llm import ann, chat_format, decontaminate, license_scan, line_ded
 from wardline.llm.common import table, values
 
 SHARDS = 16
+TOXIC = 0.3
 
 
 # The conversation that the contract adds.
@@ -43,7 +44,7 @@ def op4_toxicity(spark: SparkSession, d: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
     return judged.select(
         "doc_id", held_out.alias("held_out"), F.col("j.score").alias("score"),
-        F.when(F.col("j.score") >= 0.3, 1).otherwise(0).alias("predicted"), F.array_join("j.terms", ",").alias("terms"),
+        F.when(F.col("j.score") >= TOXIC, 1).otherwise(0).alias("predicted"), F.array_join("j.terms", ",").alias("terms"),
     )
 
 
