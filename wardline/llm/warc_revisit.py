@@ -52,12 +52,15 @@ def _weak(tag: Column) -> Column:
     return F.regexp_replace(tag, "^W/", "")
 
 
+def lowered(headers: Column) -> Column:
+    return F.transform(headers, lambda h: F.struct(F.lower(h["name"]).alias("name"), h["value"].alias("value")))
+
+
 def merged(stored: Column, fresh: Column) -> Column:
     """Stored headers, those replaced that the fresh ones may update; names in lower case, sorted."""
-    lower = lambda hs: F.transform(hs, lambda h: F.struct(F.lower(h["name"]).alias("name"), h["value"].alias("value")))
-    update = F.filter(lower(fresh), lambda h: ~h["name"].isin(*NOT_UPDATED))
+    update = F.filter(lowered(fresh), lambda h: ~h["name"].isin(*NOT_UPDATED))
     names = F.transform(update, lambda h: h["name"])
-    rest = F.filter(lower(stored), lambda h: ~F.array_contains(names, h["name"]))
+    rest = F.filter(lowered(stored), lambda h: ~F.array_contains(names, h["name"]))
     return F.array_sort(F.concat(rest, update))
 
 
@@ -96,7 +99,7 @@ def resolve(records: DataFrame) -> DataFrame:
     good = F.col("status") == "resolved"
     return judged.select(
         "record_id", "url_key", F.col("response.record_id").alias("response_id"), "status",
-        F.when(good, merged(old, F.col("headers"))).otherwise(F.array_sort("headers")).alias("headers"),
+        F.when(good, merged(old, F.col("headers"))).otherwise(F.array_sort(lowered(F.col("headers")))).alias("headers"),
     )
 
 
