@@ -22,7 +22,7 @@ def test_argument_checks(fact):
     with pytest.raises(ValueError):
         A.aggregate(fact, "age_group", filters={"year": "abc"})
     assert A.parse_limit("x") == 20 and A.parse_limit("7") == 7
-    assert A.clamp_limit(1000) == 100 and A.clamp_limit(0) == 1
+    assert A.clamp_limit(1000, 100) == 100 and A.clamp_limit(1000) == 1000 and A.clamp_limit(None) is None and A.clamp_limit(0) == 1
     assert A.parse_filters({"year": "2021", "gender": "", "other": "x"}) == {"year": "2021"}
 
 

@@ -35,7 +35,9 @@ def test_unseen_and_missing_categories_are_scored(fact):
 
 
 def test_baseline(fact):
-    train, test = M.train_test(fact)
+    train, test = M.train_test(fact, 1000)
+    usable = fact.where("total_costs is not null").count()
+    assert abs(train.count() - 1000) < 200 and abs(test.count() / usable - 0.2) < 0.03
     got = M.median_baseline(train, test).first()
     costs = sorted(float(r[0]) for r in train.select("total_costs").collect())
     half = len(costs) // 2

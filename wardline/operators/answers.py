@@ -135,17 +135,11 @@ def summarize(rows: DataFrame, keys: Sequence[str], sections: DataFrame | None =
 
 def report_sections(fact: DataFrame, sections: Sequence[tuple[str, str, int]] = DEFAULT_SECTIONS) -> DataFrame:
     """Long result of the report sections: ``position, title, dimension, rank``, metrics, all in one scan."""
-    chosen = list(sections)[:MOST_SECTIONS]
+    chosen = list(sections)
     profile = long_profile(fact, sorted({d for _, d, _ in chosen}))
     metrics = profile_metrics()
     rows = ranked(profile, ["dimension"], max(n for _, _, n in chosen))
-    asked = F.array(
-        *[
-            F.struct(F.lit(i).alias("position"), F.lit(t).alias("title"), F.lit(d).alias("dim"), F.lit(n).alias("n"))
-            for i, (t, d, n) in enumerate(chosen)
-        ]
-    )
-    rows = rows.withColumn("s", F.explode(F.filter(asked, lambda s: s["dim"] == F.col("dimension"))))
+    rows = rows.withColumn("s", F.explode(F.filter(_asked(chosen), lambda s: s["dim"] == F.col("dimension"))))
     is_payment, is_age = F.col("dimension") == "payment", F.col("dimension") == "age_group"
     return rows.where(F.col("rank") <= F.col("s.n")).select(
         F.col("s.position").alias("position"),
@@ -160,13 +154,26 @@ def report_sections(fact: DataFrame, sections: Sequence[tuple[str, str, int]] =
     )
 
 
+def _asked(sections: Sequence[tuple[str, str, int]]) -> Column:
+    """The sections as an array of (position, title, dim, n)."""
+    parts = [(F.lit(i).alias("position"), F.lit(t).alias("title"), F.lit(d).alias("dim"), F.lit(n).alias("n")) for i, (t, d, n) in enumerate(sections)]
+    return F.array(*[F.struct(*p) for p in parts])
+
+
+def clip_request(title: str | None, sections: Sequence[tuple[str, str, int]]) -> tuple[str, list[tuple[str, str, int]]]:
+    """Title and sections of a request from outside, cut to what one request may ask for."""
+    return (title or REPORT_TITLE)[:LONGEST_TITLE], list(sections)[:MOST_SECTIONS]
+
+
 def report(fact: DataFrame, title: str = REPORT_TITLE, sections: Sequence[tuple[str, str, int]] = DEFAULT_SECTIONS) -> DataFrame:
-    """One row ``title, content``: a heading and a summary per section, in order."""
+    """One row ``title, content``: a heading and a summary per section, in order; an empty section says so."""
     if not sections:
         raise ValueError("a report needs at least one section")
-    title = (title or REPORT_TITLE)[:LONGEST_TITLE]
-    texts = summarize(report_sections(fact, sections), ["position", "title"])
-    # Eight sections at most, so the list is small.
+    title = title or REPORT_TITLE
+    asked = fact.sparkSession.range(1).select(F.explode(_asked(sections)).alias("s"))
+    asked = asked.select("s.position", "s.title", F.col("s.dim").alias("dimension"))
+    texts = summarize(report_sections(fact, sections), ["position", "title"], asked)
+    # The caller lists the sections, so the list is small.
     parts = F.sort_array(F.collect_list(F.struct("position", "title", "summary")))
     body = F.transform(parts, lambda p: F.concat(F.lit("## "), p["title"], F.lit("\n\n"), p["summary"], F.lit("\n")))
     return texts.agg(F.concat(F.lit(f"# {title}\n\n"), F.array_join(body, "\n")).alias("content")).select(

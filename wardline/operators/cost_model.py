@@ -1,4 +1,7 @@
-"""Cost estimation: hash sample, hash split, boosted trees on categorical features, batch scoring."""
+"""Cost estimation: hash split, hash sample of the training part, boosted trees on categorical features, batch scoring.
+
+The split is made on the whole table. Fitting uses at most about ``FIT_ROWS`` training rows; every held-out row is judged.
+"""
 
 from __future__ import annotations
 
@@ -26,12 +29,13 @@ FEATURES = [
     "payment_typology_1",
 ]
 TARGET = "total_costs"
-SAMPLE_ROWS = 200_000
+# About so many training rows are used to fit, whatever the size of the table.
+FIT_ROWS = 20_000
 TRAIN_SHARE = 0.8
 SEED = 42
 
 
-def hash_sample(fact: DataFrame, rows: int = SAMPLE_ROWS, seed: int = SEED) -> DataFrame:
+def hash_sample(fact: DataFrame, rows: int = FIT_ROWS, seed: int = SEED) -> DataFrame:
     """About ``rows`` rows, chosen by row hash: the same ones under any partitioning.
 
     The expected size is fixed, so what is trained on does not grow with the table.
@@ -39,15 +43,15 @@ def hash_sample(fact: DataFrame, rows: int = SAMPLE_ROWS, seed: int = SEED) -> D
     return fact.where(hash_below(F.col("row_hash"), rows / max(fact.count(), 1), seed))
 
 
-def split(sample: DataFrame, share: float = TRAIN_SHARE, seed: int = SEED) -> DataFrame:
+def split(rows: DataFrame, share: float = TRAIN_SHARE, seed: int = SEED) -> DataFrame:
     """Add ``is_train``; decided per row hash with another seed than the sample."""
-    return sample.withColumn("is_train", hash_below(F.col("row_hash"), share, seed + 1))
+    return rows.withColumn("is_train", hash_below(F.col("row_hash"), share, seed + 1))
 
 
-def train_test(fact: DataFrame, rows: int = SAMPLE_ROWS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    usable = fact.where(F.col(TARGET).isNotNull()).select("row_hash", TARGET, *FEATURES)
-    marked = split(hash_sample(usable, rows, seed), seed=seed)
-    return marked.where("is_train"), marked.where("NOT is_train")
+def train_test(fact: DataFrame, fit_rows: int = FIT_ROWS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """A sample of the training rows, and all held-out rows."""
+    marked = split(fact.where(F.col(TARGET).isNotNull()).select("row_hash", TARGET, *FEATURES), seed=seed)
+    return hash_sample(marked.where("is_train"), fit_rows, seed), marked.where("NOT is_train")
 
 
 def median_baseline(train: DataFrame, test: DataFrame) -> DataFrame:
@@ -101,8 +105,15 @@ def evaluate(model: PipelineModel, test: DataFrame) -> dict[str, float]:
     return {name: evaluator.evaluate(scored, {evaluator.metricName: name}) for name in ("mae", "rmse", "r2")}
 
 
-def train_and_evaluate(fact: DataFrame, rows: int = SAMPLE_ROWS, seed: int = SEED) -> tuple[PipelineModel, dict]:
-    train, test = train_test(fact, rows, seed)
+def category_index(train: DataFrame) -> DataFrame:
+    """``feature, category, index`` as the fitted indexer has them: most frequent first, ties by value."""
+    fitted = StringIndexer(inputCols=FEATURES, outputCols=[f"{c}_index" for c in FEATURES], handleInvalid="keep").fit(train)
+    rows = [(f, label, i) for f, labels in zip(FEATURES, fitted.labelsArray) for i, label in enumerate(labels)]
+    return train.sparkSession.createDataFrame(rows, "feature string, category string, index int")
+
+
+def train_and_evaluate(fact: DataFrame, fit_rows: int = FIT_ROWS, seed: int = SEED) -> tuple[PipelineModel, dict]:
+    train, test = train_test(fact, fit_rows, seed)
     train, test = train.persist(), test.persist()
     try:
         model = fit(train, seed=seed)

@@ -105,20 +105,21 @@ def intent_of(
     )
 
 
-def acceptable(c: Column) -> Column:
-    """Not blank and at most 500 characters."""
+def acceptable(c: Column, longest: int | None = LONGEST_QUESTION) -> Column:
+    """Not blank and at most ``longest`` characters (``None``: of any length)."""
     trimmed = F.regexp_replace(c, r"^\s+|\s+$", "")
-    return F.coalesce((F.length(trimmed) > 0) & (F.length(trimmed) <= LONGEST_QUESTION), F.lit(False))
+    fits = F.length(trimmed) > 0 if longest is None else F.length(trimmed).between(1, longest)
+    return F.coalesce(fits, F.lit(False))
 
 
-def tag_intents(questions: DataFrame, query: str = "query", **rules: Rules) -> DataFrame:
-    """Add ``accepted`` and ``intent``; a refused question stays, with a null intent."""
-    ok = acceptable(F.col(query))
+def tag_intents(questions: DataFrame, query: str = "query", longest: int | None = LONGEST_QUESTION, **rules: Rules) -> DataFrame:
+    """Add ``accepted`` and ``intent``; a refused question (blank, or over ``longest``) stays, with a null intent."""
+    ok = acceptable(F.col(query), longest)
     return questions.withColumn("accepted", ok).withColumn("intent", F.when(ok, intent_of(F.col(query), **rules)))
 
 
-def reject_counts(questions: DataFrame, query: str = "query") -> DataFrame:
-    ok = acceptable(F.col(query))
+def reject_counts(questions: DataFrame, query: str = "query", longest: int | None = LONGEST_QUESTION) -> DataFrame:
+    ok = acceptable(F.col(query), longest)
     return questions.agg(F.count(F.when(ok, 1)).alias("accepted"), F.count(F.when(~ok, 1)).alias("rejected"))
 
 
