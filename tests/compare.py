@@ -54,7 +54,7 @@ def main() -> None:
     from wardline.session import local_session
 
     folder, names = sys.argv[1], sys.argv[2:]
-    spark = local_session(cores=8)
+    spark = local_session(cores=4)
     spark.sparkContext.setLogLevel("ERROR")
     connection, sql = connect(folder), oracle_sql()
     bad = 0

@@ -1,8 +1,10 @@
+import os
+
 import pytest
 from conftest import line, rows_of, write_csv
 
 from wardline.plans import incremental
-from wardline.plans.ingest import cleaned_table, ingest, years_in
+from wardline.plans.ingest import cleaned_table, ingest, reconcile, years_in
 from wardline.sources import ledger, store
 from wardline.streaming import ingest as stream
 
@@ -45,6 +47,55 @@ def test_relaxed_load(spark, source, tmp_path):
 def test_dry_run_writes_nothing(spark, source, tmp_path):
     out = ingest(spark, source, str(tmp_path / "fact"), dry_run=True)
     assert out["dry_run"] and out["rows_inserted"] == 3 and not (tmp_path / "fact").exists()
+    bad = write_csv(tmp_path / "bad.csv", [line(), *[line() + ",x"] * 500])
+    with pytest.raises(ValueError, match="500 bad records"):
+        ingest(spark, bad, str(tmp_path / "fact"), dry_run=True)
+    out = ingest(spark, bad, str(tmp_path / "fact"), dry_run=True, most_rejects=500)
+    assert (out["rows_read"], out["rows_inserted"], out["rows_rejected"]) == (1, 1, 500)
+
+
+def test_rejects_are_kept_and_counted(spark, tmp_path):
+    bad, target, book = write_csv(tmp_path / "bad.csv", [line(), line() + ",x"]), str(tmp_path / "fact"), str(tmp_path / "ledger")
+    out = ingest(spark, bad, target, book)
+    assert (out["rows_read"], out["rows_inserted"], out["rows_rejected"]) == (1, 1, 1)
+    assert spark.read.parquet(f"{target}_rejected").first()["record"].endswith(",x")
+    state = ledger.latest_run(ledger.read_ledger(spark, book)).first()
+    assert state["rows_rejected"] == 1 and state["source_size_bytes"] == (tmp_path / "bad.csv").stat().st_size
+
+
+def test_counters_after_inserts(spark, raw, tmp_path):
+    target = str(tmp_path / "fact")
+    for _ in range(2):
+        incremental.insert_new(spark, raw({}, {}, {}), target)
+    state = lambda: reconcile(fact(spark, target), store.read_loads(spark, target)).first().asDict()
+    assert state() == {"rows_read": 6, "rows_inserted": 1, "rows_dropped": 5, "reconciled": True}
+    # A row that no load accounts for.
+    store.write_fact(store.to_fact(cleaned_table(raw({"gender": "M"}))), target)
+    assert not state()["reconciled"]
+
+
+def test_relaxed_identity_is_unique_and_stream_equals_batch(spark, tmp_path):
+    lines = [line(total_charges="1,200"), line(total_charges="1200"), line()]
+    folder, target = tmp_path / "in", str(tmp_path / "fact")
+    folder.mkdir()
+    source = write_csv(folder / "a.csv", lines)
+    out = ingest(spark, source, target, profile="relaxed", last_year=2026)
+    assert (out["rows_read"], out["rows_inserted"], out["reconciled"]) == (3, 2, True)
+    table = stream.ingest_stream(spark, str(folder), str(tmp_path / "out"), profile="relaxed", last_year=2026)
+    assert hashes(table) == hashes(fact(spark, target))
+
+
+def test_no_staging_folder_is_left(spark, source, tmp_path):
+    from wardline.session import shared_root
+
+    before = {p for p in os.listdir(shared_root(spark)) if p.startswith("stage-")}
+    ingest(spark, source, str(tmp_path / "fact"))
+    assert {p for p in os.listdir(shared_root(spark)) if p.startswith("stage-")} == before
+
+
+def test_fact_write_has_one_full_exchange(raw):
+    plan = store.to_fact(cleaned_table(raw({}, {"gender": "M"})))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
 
 
 def test_failed_load_is_recorded(spark, tmp_path):
@@ -135,6 +186,7 @@ def test_stream_of_json_lines(spark, tmp_path):
     folder.mkdir()
     (folder / "a.jsonl").write_text('{"Facility Name": "A", "Discharge Year": "2021"}\n{bad\n')
     table = stream.ingest_stream(spark, str(folder), str(tmp_path / "out"), fmt="json", last_year=2026)
+    assert ledger.latest_run(stream.read_stream_ledger(spark, str(tmp_path / "out"))).first()["rows_rejected"] == 1
     assert rows_of(table.select("facility_name", "discharge_year")) == [("A", 2021)]
 
 
@@ -144,6 +196,20 @@ def test_stream_refuses_a_wrong_header(spark, tmp_path):
         stream.ingest_stream(spark, str(tmp_path), str(tmp_path / "out"))
 
 
+def test_failing_stream_is_recorded(spark, tmp_path):
+    folder, target = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    write_csv(folder / "1.csv", [line()])
+    stream.ingest_stream(spark, str(folder), target, last_year=2026, run_id=1)
+    write_csv(folder / "2.csv", [line(), *[line() + ",x"] * 3])
+    with pytest.raises(Exception, match="3 bad records"):
+        stream.ingest_stream(spark, str(folder), target, last_year=2026, most_rejects=2, run_id=2)
+    runs = {r.run_id: r for r in ledger.latest_per_run(stream.read_stream_ledger(spark, target)).collect()}
+    assert runs[1].status == "completed" and runs[1].finished_at >= runs[1].started_at and runs[1].source_size_bytes > 0
+    assert runs[2].status == "failed" and "3 bad records" in runs[2].error_message and runs[2].rows_read == 1
+    assert spark.read.parquet(f"{target}/rejected").count() == 3
+
+
 def test_folder_of_files_with_a_given_format(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for i in range(2):

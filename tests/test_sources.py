@@ -10,7 +10,7 @@ from wardline.sources import ledger, readers, store
 def test_csv_quirks(spark, tmp_path):
     odd = {"facility_name": 'St. "X", North', "ccsr_diagnosis_description": "two\nlines", "permanent_facility_id": "00012"}
     path = write_csv(tmp_path / "a.csv", [line(**odd), line(gender="")], bom=True)
-    rows = readers.project_canonical(readers.read_source(spark, path)).orderBy("permanent_facility_id").collect()
+    rows = readers.project_canonical(readers.read_source(spark, path, multiline=True)).orderBy("permanent_facility_id").collect()
     assert rows[1]["facility_name"] == 'St. "X", North' and rows[1]["ccsr_diagnosis_description"] == "two\nlines"
     assert rows[1]["permanent_facility_id"] == "00012" and rows[0]["gender"] is None
 
@@ -20,13 +20,48 @@ def test_short_rows_are_padded_and_long_ones_rejected(spark, tmp_path):
     path = write_csv(tmp_path / "a.csv", [line(total_charges="7"), short, line(total_charges="8") + ",extra", line(facility_name="a,b", total_charges="9")])
     marked = readers.read_source(spark, path, keep_corrupt=True)
     assert readers.bad_record_counts(marked).first().asDict() == {"records": 4, "padded": 1, "rejected": 1}
-    good, rejected = readers.split_bad_records(marked)
-    assert good.count() == 3 and rejected.first()["fields"] == 34
+    good, rejected = readers.split_rejects(marked)
+    assert good.count() == 3 and rejected.first()["reason"] == "too many fields" and rejected.first()["record"].endswith(",extra")
     # The same rows come back when only a few columns are asked for.
-    assert rows_of(readers.read_source(spark, path).select("Total Charges")) == [("7",), ("9",), (None,)]
-    assert readers.check_rejects(readers.bad_record_counts(marked), 1) == 1
-    with pytest.raises(ValueError):
-        readers.check_rejects(readers.bad_record_counts(marked), 0)
+    assert rows_of(readers.read_source(spark, path, drop_rejects=True).select("Total Charges")) == [("7",), ("9",), (None,)]
+    with pytest.raises(Exception, match="too many fields"):
+        readers.read_source(spark, path).collect()
+    folder = str(tmp_path / "rejected")
+    assert readers.quarantine_rejects(marked, "csv", folder, 1) == (4, 1)
+    assert spark.read.parquet(folder).count() == 1
+    with pytest.raises(ValueError, match="1 bad records"):
+        readers.quarantine_rejects(marked, "csv", None, 0)
+
+
+def test_line_break_in_quotes_is_a_reject_unless_asked_for(spark, tmp_path):
+    path = write_csv(tmp_path / "a.csv", [line(facility_name="two\nlines"), line()])
+    marked = readers.read_source(spark, path, keep_corrupt=True)
+    assert {r.reason for r in readers.split_rejects(marked)[1].collect()} == {"unbalanced quotes"}
+    assert readers.read_source(spark, path, multiline=True).count() == 2
+
+
+def test_very_long_quoted_field_of_a_bad_record(spark, tmp_path):
+    path = write_csv(tmp_path / "a.csv", [line(facility_name='x"y' * 350_000) + ",extra", line()])
+    marked = readers.read_source(spark, path, keep_corrupt=True)
+    assert readers.quarantine_rejects(marked, "csv", None, 1) == (2, 1)
+
+
+def test_a_large_file_is_read_by_several_tasks(spark, tmp_path):
+    path = write_csv(tmp_path / "a.csv", [line()] * 3000)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        assert readers.read_source(spark, path).rdd.getNumPartitions() > 3
+        assert readers.read_source(spark, path, multiline=True).rdd.getNumPartitions() == 1
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_unknown_json_key_and_repeated_header(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"Facility Name": "B", "Total Cost": 1}\n')
+    with pytest.raises(Exception, match="unexpected: Total Cost"):
+        readers.read_source(spark, str(tmp_path / "a.jsonl")).collect()
+    with pytest.raises(ValueError, match="repeated: a"):
+        readers.validate_columns(["a", "a"], ["a"])
 
 
 def test_header_contract(spark, tmp_path):
@@ -52,7 +87,7 @@ def test_tsv_and_json_lines(spark, tmp_path):
     assert readers.read_source(spark, str(tmp_path / "a.tsv")).first()["Total Charges"] == "1,200.50"
     lines = [json.dumps({h: record()[n] for h, n in zip(HEADERS, NAMES)}), '{"Facility Name": "B", "Zip Code - 3 digits": 12}', "{broken"]
     (tmp_path / "a.jsonl").write_text("\n".join(lines))
-    rows = readers.project_canonical(readers.read_source(spark, str(tmp_path / "a.jsonl"))).orderBy("facility_name").collect()
+    rows = readers.project_canonical(readers.read_source(spark, str(tmp_path / "a.jsonl"), drop_rejects=True)).orderBy("facility_name").collect()
     assert [r["permanent_facility_id"] for r in rows] == ["0001", None] and rows[1]["zip_code_3"] == "12"
 
 

@@ -16,9 +16,10 @@ def rows_to_insert(raw: DataFrame, stored: DataFrame, profile: str = "strict") -
 def insert_new(spark: SparkSession, raw: DataFrame, target: str, profile: str = "strict") -> int:
     """Append the rows the table does not hold and return how many; a second run adds none.
 
-    Cleaning, the identity join and the append are one job, which commits as a whole.
+    Cleaning, the identity join and the append are one job, which commits as a whole and counts what it writes. The
+    rows read are counted on the input; both counts go to the table's list of loads.
     """
     stored = store.read_fact(spark, target)
-    before = stored.count()
-    store.write_fact(store.to_fact(rows_to_insert(raw, stored, profile)), target)
-    return store.read_fact(spark, target).count() - before
+    added = store.write_fact(store.to_fact(rows_to_insert(raw, stored, profile)), target)
+    store.record_load(spark, target, raw.count(), added)
+    return added

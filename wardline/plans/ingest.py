@@ -1,7 +1,8 @@
 """Batch ingest: read, check, clean, deduplicate, write, audit.
 
 Arguments of the job: ``--source``, ``--target``, ``--ledger``, ``--profile strict|relaxed``,
-``--truncate``, ``--dry-run``, ``--single-line``.
+``--truncate``, ``--dry-run``, ``--multiline``, ``--most-rejects``; ``--stream`` consumes a folder as a
+file stream, with ``--max-files`` per batch and at most ``--max-batches`` of them; ``--init`` creates the tables.
 """
 
 from __future__ import annotations
@@ -17,16 +18,20 @@ from pyspark.sql import functions as F
 from wardline.functions.identity import row_hash
 from wardline.operators import cleaning, quality
 from wardline.schema import NAMES, PARTITION_COLUMN, TYPED
-from wardline.session import new_folder, tune
+from wardline.session import new_folder, remove_folder
 from wardline.sources import ledger, readers, store
 
 PROFILES = ("strict", "relaxed")
 
 
 def as_table(relaxed: DataFrame) -> DataFrame:
-    """Relaxed rows in table types: amounts to decimals, identity added."""
+    """Relaxed rows in table types: amounts to decimals, identity added.
+
+    Rows that differ as raw text only ("1,200" and "1200") are one row of the table, so that the identity is unique.
+    """
     typed = {c: F.col(c).try_cast(t) for c, t in TYPED.items()}
-    return relaxed.withColumns(typed).withColumn("row_hash", row_hash(NAMES))
+    folded = relaxed.withColumns(typed).groupBy(*NAMES).agg(F.sum("source_rows").alias("source_rows"))
+    return folded.withColumn("row_hash", row_hash(NAMES))
 
 
 def cleaned_table(raw: DataFrame, profile: str = "strict") -> DataFrame:
@@ -43,11 +48,17 @@ def years_in(raw: DataFrame, profile: str = "strict") -> list[int | None]:
     return [r[0] for r in rows.select(PARTITION_COLUMN).distinct().collect()]
 
 
-def reconcile(fact: DataFrame) -> DataFrame:
-    """One row from the stored table: rows read, kept, dropped, and whether they add up."""
-    read, kept = F.coalesce(F.sum("source_rows"), F.lit(0)), F.count("*")
-    counts = fact.agg(read.alias("rows_read"), kept.alias("rows_inserted"), (read - kept).alias("rows_dropped"))
-    return counts.withColumn("reconciled", F.col("rows_read") == F.col("rows_inserted") + F.col("rows_dropped"))
+def reconcile(fact: DataFrame, loads: DataFrame) -> DataFrame:
+    """One row: rows read by all loads, kept, dropped, and whether table and loads agree.
+
+    Two independent counts: the loads counted their inputs and what they added, the table is counted here. The
+    copies the table stands for cannot exceed what was read.
+    """
+    total = lambda name: loads.agg(F.coalesce(F.sum(name), F.lit(0)).alias(name)).scalar()
+    held = fact.agg(F.count("*").alias("rows_inserted"), F.coalesce(F.sum("source_rows"), F.lit(0)).alias("copies"))
+    both = held.select("*", total("rows_read").alias("rows_read"), total("rows_inserted").alias("told"))
+    agree = (F.col("told") == F.col("rows_inserted")) & (F.col("copies") <= F.col("rows_read"))
+    return both.select("rows_read", "rows_inserted", (F.col("rows_read") - F.col("rows_inserted")).alias("rows_dropped"), agree.alias("reconciled"))
 
 
 def ingest(
@@ -60,50 +71,57 @@ def ingest(
     profile: str = "strict",
     truncate: bool = False,
     dry_run: bool = False,
-    multiline: bool = True,
-    most_rejects: int = 100,
+    multiline: bool = False,
+    most_rejects: int = readers.MOST_REJECTS,
+    quarantine: str | None = None,
     last_year: int | None = None,
     run_id: int | None = None,
     rebalance: bool = False,
 ) -> dict:
     """Load one file or folder into the table at ``target`` and return the counters and scores.
 
-    ``fmt`` (csv, tsv, json) is needed where the path does not end in a known file ending.
+    ``fmt`` (csv, tsv, json) is needed where the path does not end in a known file ending. Rejected records go to
+    the folder ``quarantine`` (beside the table unless given); more than ``most_rejects`` stop the load.
     """
     began = time.perf_counter()
-    tune(spark)
     last_year = last_year or dt.datetime.now(dt.timezone.utc).year
     fmt = fmt or readers.source_format(source)
     marked = readers.read_source(spark, source, fmt, multiline=multiline, keep_corrupt=True)
     if dry_run:
+        records, rejected = readers.quarantine_rejects(marked, fmt, None, most_rejects)
         raw = _good(marked, fmt)
         rows = cleaned_table(raw, profile)
-        scores = _scores(raw, rows, profile, last_year)
-        return {**_counters(raw, rows, profile), "quality": scores, "dry_run": True, "source": source}
+        kept = rows.count()
+        counters = {"rows_read": records - rejected, "rows_inserted": kept, "rows_dropped": records - rejected - kept, "rows_rejected": rejected}
+        return {**counters, "quality": _scores(raw, rows, profile, last_year), "dry_run": True, "source": source}
 
     if not truncate:
         store.refuse_if_filled(spark, target)
     run = run_id if run_id is not None else int(time.time() * 1000)
-    audit = {"run_id": run, "source_file": source, "started_at": ledger.now()}
+    audit = {"run_id": run, "source_file": source, "started_at": ledger.now(), "source_size_bytes": store.size_of(spark, source)}
     _event(spark, ledger_path, audit, event_seq=0, status="running")
+    staged = new_folder(spark, "stage")
     try:
         # The text is parsed once into a columnar staging table; every later step reads that.
-        staged = new_folder(spark, "stage")
         marked.write.parquet(staged)
         marked = spark.read.schema(marked.schema).parquet(staged)
-        rejected = readers.check_rejects(_bad_records(marked, fmt), most_rejects)
+        records, rejected = readers.quarantine_rejects(marked, fmt, quarantine or f"{target.rstrip('/')}_rejected", most_rejects)
         raw = _good(marked, fmt)
-        store.write_fact(store.to_fact(cleaned_table(raw, profile)), target, "overwrite" if truncate else "append", rebalance)
+        mode = "overwrite" if truncate else "append"
+        added = store.write_fact(store.to_fact(cleaned_table(raw, profile)), target, mode, rebalance)
+        store.record_load(spark, target, records - rejected, added, mode)
         fact = store.read_fact(spark, target)
-        counters = _counters(raw, fact, profile)
+        counters = reconcile(fact, store.read_loads(spark, target)).first().asDict()
         scores = _scores(raw, fact, profile, last_year)
     except Exception as error:
         _event(spark, ledger_path, audit, event_seq=2, status="failed", finished_at=ledger.now(), error=error)
         raise
+    finally:
+        remove_folder(spark, staged)
     done = {k: counters[k] for k in ("rows_read", "rows_inserted", "rows_dropped")}
     _event(
         spark, ledger_path, audit, event_seq=2, status="completed", finished_at=ledger.now(),
-        chunks_processed=1, quality=scores, **done,
+        chunks_processed=1, rows_rejected=rejected, quality=scores, **done,
     )
     elapsed = round(time.perf_counter() - began, 2)
     return {**counters, "rows_rejected": rejected, "quality": scores, "dry_run": False, "source": source,
@@ -111,15 +129,7 @@ def ingest(
 
 
 def _good(marked: DataFrame, fmt: str) -> DataFrame:
-    if fmt == "json":
-        return readers.project_canonical(readers.drop_broken_json(marked))
-    return readers.project_canonical(readers.split_bad_records(marked, readers.SEPARATORS[fmt])[0])
-
-
-def _bad_records(marked: DataFrame, fmt: str) -> DataFrame:
-    if fmt == "json":
-        return marked.agg(F.count(readers.CORRUPT).alias("rejected"))
-    return readers.bad_record_counts(marked, readers.SEPARATORS[fmt])
+    return readers.project_canonical(readers.split_rejects(marked, fmt)[0])
 
 
 def _event(spark, path, audit, **event) -> None:
@@ -127,16 +137,6 @@ def _event(spark, path, audit, **event) -> None:
         ledger.append_event(spark, path, **audit, **event)
 
 
-def _counters(raw: DataFrame, fact: DataFrame, profile: str) -> dict:
-    """Strict keeps every distinct row, so the table knows what was read; relaxed also drops invalid rows."""
-    if profile == "strict":
-        return reconcile(fact).first().asDict()
-    stats = cleaning.clean_stats(raw).first()
-    read, kept = stats["rows_read"], fact.count()
-    dropped = stats["duplicates_removed"] + stats["invalid_rows_removed"]
-    return {"rows_read": read, "rows_inserted": kept, "rows_dropped": dropped, "reconciled": read == kept + dropped}
-
-
 def _scores(raw: DataFrame, fact: DataFrame, profile: str, last_year: int) -> dict:
     """Strict scores come from the clean table, relaxed ones from the raw rows."""
     if profile == "strict":
@@ -153,13 +153,24 @@ def main() -> None:
     parser.add_argument("--profile", choices=PROFILES, default="strict")
     parser.add_argument("--truncate", action="store_true", help="replace the table")
     parser.add_argument("--dry-run", action="store_true", help="clean and score without writing")
-    parser.add_argument("--single-line", action="store_true", help="no line breaks inside quotes: files split")
+    parser.add_argument("--multiline", action="store_true", help="line breaks inside quotes: one task reads a file")
+    parser.add_argument("--most-rejects", type=int, default=readers.MOST_REJECTS)
+    parser.add_argument("--stream", action="store_true", help="consume the folder as a file stream")
+    parser.add_argument("--max-files", type=int, help="files per batch of a stream")
+    parser.add_argument("--max-batches", type=int, help="end a trial stream after so many batches")
+    parser.add_argument("--init", action="store_true", help="create the catalog tables first")
     a = parser.parse_args()
     spark = SparkSession.builder.appName("discharge-ingest").getOrCreate()
-    result = ingest(
-        spark, a.source, a.target, a.ledger, profile=a.profile, truncate=a.truncate, dry_run=a.dry_run,
-        multiline=not a.single_line, fmt=a.format,
-    )
+    if a.init:
+        store.create_tables(spark)
+    shared = {"profile": a.profile, "multiline": a.multiline, "most_rejects": a.most_rejects}
+    if a.stream:
+        from wardline.streaming.ingest import ingest_stream, read_stream_ledger
+
+        ingest_stream(spark, a.source, a.target, fmt=a.format or "csv", max_files=a.max_files, max_batches=a.max_batches, **shared)
+        result = ledger.latest_run(read_stream_ledger(spark, a.target)).first().asDict(recursive=True)
+    else:
+        result = ingest(spark, a.source, a.target, a.ledger, truncate=a.truncate, dry_run=a.dry_run, fmt=a.format, **shared)
     print(json.dumps(result, default=str, indent=2))
 
 

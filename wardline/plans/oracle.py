@@ -473,9 +473,24 @@ def _below(fraction_sql: str, seed: int) -> str:
     return f"({fraction_sql} >= 1 or substr(sha256(row_hash || ':{seed}'), 1, 8) < {bound})"
 
 
+def _split(table: str) -> str:
+    return f"select *, {_below('cast(0.8 as double)', 43)} as is_train from {table}"
+
+
 def _sampled(rows: int, table: str) -> str:
+    """The rows of ``table`` whose hash lies below the share that gives about ``rows`` of them."""
     fraction = f"(select cast({rows} as double) / cast(greatest(count(*), 1) as double) from {table})"
-    return f"select *, {_below('cast(0.8 as double)', cost_model.SEED + 1)} as is_train from {table} where {_below(fraction, cost_model.SEED)}"
+    return f"select * from {table} where {fraction} >= 1 or {_below(fraction, 42)}"
+
+
+MODEL_TABLES = [
+    f"marked as (select * from ({_split('fact')}) where total_costs is not null)", "train as (select * from marked where is_train)",
+    f"fitted as ({_sampled(2000, 'train')})",
+]
+MODEL_FEATURES = [
+    "age_group", "gender", "type_of_admission", "ccsr_diagnosis_code", "apr_severity_of_illness_desc", "apr_risk_of_mortality",
+    "apr_medical_surgical_desc", "emergency_department_indicator", "payment_typology_1",
+]
 
 
 def _relaxed() -> str:
@@ -510,6 +525,15 @@ def _clip(e: str) -> str:
     return f"case when ({e}) < 0 then cast(0 as double) else ({e}) end"
 
 
+STRICT_WITHOUT_NEGATIVE = f"select {', '.join(f'{e} as {n}' for n, e in STRICT.items())} from raw where length_of_stay is distinct from '-1'"
+EMPTY_REPORT = """
+select '医疗大数据洞察报告' as title, '# 医疗大数据洞察报告' || chr(10) || chr(10)
+  || '## 疾病住院量与费用' || chr(10) || chr(10) || '未查询到「疾病」下的有效数据，请调整筛选条件后重试。' || chr(10) || chr(10)
+  || '## 患者年龄结构' || chr(10) || chr(10) || '未查询到「年龄段」下的有效数据，请调整筛选条件后重试。' || chr(10) || chr(10)
+  || '## 支付方式构成' || chr(10) || chr(10) || '未查询到「支付方式」下的有效数据，请调整筛选条件后重试。' || chr(10) as content
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     hashed = f"hashed as (select *, {_hash(NAMES)} as row_hash from raw)"
     dedup_keys, single = ", ".join(R.DEDUP_KEYS), ", ".join(R.SINGLE_KEYS)
@@ -549,6 +573,26 @@ def oracle_sql() -> dict[str, str]:
             "select cast(r as bigint) as rows_read, cast(k as bigint) as rows_inserted, cast(r - k as bigint) as rows_dropped, r = k + (r - k) as reconciled "
             "from (select (select count(*) from raw) as r, (select count(*) from fact) as k)"
         ),
+        "reconcile_after_insert": on_fact(
+            "select cast(r as bigint) as rows_read, cast(k as bigint) as rows_inserted, cast(r - k as bigint) as rows_dropped, true as reconciled "
+            "from (select (select count(*) from raw) + (select count(*) from raw where age_group = '0 to 17') as r, (select count(*) from fact) as k)"
+        ),
+        "relaxed_identity": on_raw(
+            "select cast(count(*) as bigint) as rows, cast(count(*) as bigint) as identities, (select cast(count(*) as hugeint) from raw) as source_rows "
+            f"from (select distinct * from ({_relaxed()}))"
+        ),
+        "stream_ledger": on_fact(
+            "select cast(7 as bigint) as run_id, 'completed' as status, true as ended, cast(r as bigint) as rows_read, cast(k as bigint) as rows_inserted, "
+            "cast(r - k as bigint) as rows_dropped, cast(0 as bigint) as rows_rejected, sample_size, overall "
+            f"from (select (select count(*) from raw) as r, (select count(*) from fact) as k), ({STRICT_REPORT})"
+        ),
+        "report_empty_section": EMPTY_REPORT,
+        "stream_rejects": on_fact(
+            "select 'completed' as status, cast(r as bigint) as rows_read, cast(k as bigint) as rows_inserted, cast(r - k as bigint) as rows_dropped, "
+            "cast(x as bigint) as rows_rejected, cast(x as bigint) as quarantined, 'too many fields' as reason from ("
+            "select count(*) filter (where length_of_stay is distinct from '-1') as r, count(*) filter (where length_of_stay = '-1') as x from raw), "
+            "(select count(*) as k from (select distinct * from (" + STRICT_WITHOUT_NEGATIVE + ")))"
+        ),
         "dedup_full": on_raw("select distinct * from raw"),
         "dedup_first": dedup("asc"),
         "dedup_last": dedup("desc"),
@@ -656,12 +700,17 @@ def oracle_sql() -> dict[str, str]:
         "fill_absent_columns": on_raw(
             "select permanent_facility_id, cast(null as varchar) as race, cast(null as varchar) as payment_typology_3, total_costs, 'race,payment_typology_3' as absent from raw"
         ),
-        "ml_sample": on_fact(f"select row_hash, total_costs from ({_sampled(R.SAMPLE_ROWS, 'fact')})"),
-        "ml_split": on_fact(f"select row_hash, is_train from ({_sampled(R.SAMPLE_ROWS, 'fact')})"),
+        "ml_sample": on_fact("select row_hash, total_costs from fitted", *MODEL_TABLES),
+        "ml_split": on_fact(f"select row_hash, is_train from ({_split('fact')})"),
+        "ml_index": on_fact(
+            "select feature, category, cast(row_number() over (partition by feature order by n desc, category) - 1 as int) as index from ("
+            "select feature, category, count(*) as n from (unpivot (select " + ", ".join(MODEL_FEATURES) + " from fitted) on "
+            + ", ".join(MODEL_FEATURES) + " into name feature value category) group by all)", *MODEL_TABLES
+        ),
+        "ml_score_rows": on_fact("select row_hash, true as scored from fact"),
         "ml_baseline": on_fact(
             "select cast(count(*) as bigint) as test_rows, max(m) as train_median, round(avg(abs(cast(total_costs as double) - m)), 4) as baseline_mae "
-            "from marked, (select median(cast(total_costs as double)) as m from marked where is_train) where not is_train",
-            "usable as (select * from fact where total_costs is not null)", f"marked as ({_sampled(cost_model.SAMPLE_ROWS, 'usable')})"
+            "from marked, (select median(cast(total_costs as double)) as m from fitted) where not is_train", *MODEL_TABLES
         ),
         "bench_overview": on_fact(SUMMARY),
         "bench_diseases_top": on_fact(_agg("disease", ["count"], 10)),

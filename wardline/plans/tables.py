@@ -44,19 +44,23 @@ def stage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fact_path(spark: SparkSession, sf_dir: str) -> str:
     def write(path: str) -> None:
         rows = store.to_fact(strict_table(stage(spark, sf_dir)))
-        store.write_fact(rows, path, rebalance=True)
+        added = store.write_fact(rows, path)
+        store.record_load(spark, path, stage(spark, sf_dir).count(), added, "overwrite")
 
     return _once(spark, sf_dir, "fact", write)
 
 
+def loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.read_loads(spark, fact_path(spark, sf_dir))
+
+
 def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The strict discharge table, partitioned by year."""
     return store.read_fact(spark, fact_path(spark, sf_dir))
 
 
-def _per_file(rows: int) -> int:
-    """Records per exported file: about 64 files beyond what the partitions give, none tiny."""
-    return max(20_000, rows // 64)
+# Records per exported file.
+RECORDS_PER_FILE = 250_000
 
 
 def csv_folder(spark: SparkSession, sf_dir: str) -> str:
@@ -65,7 +69,7 @@ def csv_folder(spark: SparkSession, sf_dir: str) -> str:
 
     def write(path: str) -> None:
         out = rows.withColumnsRenamed({n: h for h, n in COLUMNS})
-        writer = out.write.option("header", True).option("escape", '"').option("maxRecordsPerFile", _per_file(rows.count()))
+        writer = out.write.option("header", True).option("escape", '"').option("maxRecordsPerFile", RECORDS_PER_FILE)
         writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
     return _once(spark, sf_dir, "csv", write)

@@ -107,5 +107,6 @@ LEDGER_SCHEMA = T.StructType(
         T.StructField("rows_dropped", T.LongType()),
         T.StructField("quality_json", T.StringType()),
         T.StructField("error_message", T.StringType()),
+        T.StructField("rows_rejected", T.LongType()),
     ]
 )

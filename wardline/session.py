@@ -16,7 +16,8 @@ TUNING = {"spark.sql.codegen.hugeMethodLimit": ("65535", "8000")}
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Replace Spark's defaults that do not suit wide rows; values set by the user stay."""
+    """Replace Spark's defaults that do not suit wide rows. Only ``local_session`` calls this; on a cluster it is the
+    user's choice, since the setting holds for the whole session."""
     for key, (default, better) in TUNING.items():
         if spark.conf.get(key) == default:
             spark.conf.set(key, better)
@@ -59,6 +60,11 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return path
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder now instead of at the end of the process."""
+    _remove(spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path)
+
+
 def _remove(jvm, hadoop_conf, path: str) -> None:
     try:
         target = jvm.org.apache.hadoop.fs.Path(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,12 +27,16 @@ def source_format(path: str) -> str:
 
 
 def validate_columns(found: Iterable[str], expected: Sequence[str] = HEADERS) -> None:
-    """The header set must match exactly; only the schema is looked at, no job runs."""
-    found = list(found)
-    missing = [c for c in expected if c not in found]
-    extra = [c for c in found if c not in expected]
-    if missing or extra:
-        raise ValueError(f"columns do not match: missing={missing}, extra={extra}")
+    """The header must hold every expected name once and no other; only the schema is looked at, no job runs."""
+    times = Counter(found)
+    breaches = {
+        "missing": set(expected) - times.keys(),
+        "unexpected": times.keys() - set(expected),
+        "repeated": {name for name, n in times.items() if n > 1},
+    }
+    listed = "; ".join(f"{kind}: {', '.join(sorted(names))}" for kind, names in breaches.items() if names)
+    if listed:
+        raise ValueError(f"the header breaks the contract ({listed})")
 
 
 def text_schema(columns: Sequence[str], corrupt: bool = False) -> T.StructType:
@@ -39,11 +44,11 @@ def text_schema(columns: Sequence[str], corrupt: bool = False) -> T.StructType:
     return T.StructType(fields + ([T.StructField(CORRUPT, T.StringType())] if corrupt else []))
 
 
-def csv_options(fmt: str, multiline: bool = True) -> dict[str, object]:
+def csv_options(fmt: str, multiline: bool = False) -> dict[str, object]:
     """Reader options shared by the batch and the streaming form.
 
-    ``multiline`` allows line breaks inside quotes but makes one task read one file; switch it
-    off for large files that have none, so that they split.
+    Without ``multiline`` a file splits into many tasks, and a record with a line break inside quotes is rejected
+    for its unbalanced quotes. With it such records are read, and one task reads a whole file.
     """
     return {
         "header": True,
@@ -58,7 +63,7 @@ def csv_options(fmt: str, multiline: bool = True) -> dict[str, object]:
     }
 
 
-def csv_header(spark: SparkSession, path: str, fmt: str | None = None, multiline: bool = True) -> list[str]:
+def csv_header(spark: SparkSession, path: str, fmt: str | None = None, multiline: bool = False) -> list[str]:
     """Column names of the first file, in file order."""
     fmt = fmt or source_format(path)
     return spark.read.options(**csv_options(fmt, multiline)).csv(path).columns
@@ -70,24 +75,24 @@ def read_source(
     fmt: str | None = None,
     *,
     expected: Sequence[str] | None = HEADERS,
-    multiline: bool = True,
+    multiline: bool = False,
     keep_corrupt: bool = False,
+    drop_rejects: bool = False,
 ) -> DataFrame:
     """A lazy text frame with the source's own headers.
 
     ``expected`` is the contract to hold the header to (``None`` skips it). The first file's
     header order is the schema, and every further file is checked against it while it is read.
-    Empty fields of delimited files are null. Short rows are padded with nulls and long rows are left out; ``keep_corrupt`` keeps both with
-    their text in ``_corrupt`` for :func:`split_bad_records`.
+    Empty fields of delimited files are null, and short rows are padded with nulls. A rejected record (too many
+    fields, unbalanced quotes, broken JSON) stops the read with its text; ``drop_rejects`` leaves it out instead, and
+    ``keep_corrupt`` keeps everything with the text in ``_corrupt`` for :func:`split_rejects`. JSON lines may leave
+    out columns, but a key outside ``expected`` stops the read.
     """
     fmt = fmt or source_format(path)
     try:
         if fmt == "json":
-            # An explicit text schema keeps leading zeros and reads numbers as written.
-            rows = spark.read.schema(text_schema(expected or HEADERS, corrupt=True)).json(
-                path, columnNameOfCorruptRecord=CORRUPT
-            )
-            return rows if keep_corrupt else drop_broken_json(rows)
+            rows = json_records(spark.read.text(path), expected or HEADERS)
+            return rows if keep_corrupt else _good_rows(rows, fmt, drop_rejects)
         columns = csv_header(spark, path, fmt, multiline)
         if expected is not None:
             validate_columns(columns, expected)
@@ -97,15 +102,28 @@ def read_source(
         if "PATH_NOT_FOUND" in str(error):
             raise FileNotFoundError(path) from error
         raise
-    if keep_corrupt:
-        return rows
-    good, _ = split_bad_records(rows, SEPARATORS[fmt])
-    return good
+    return rows if keep_corrupt else _good_rows(rows, fmt, drop_rejects)
+
+
+def json_records(lines: DataFrame, expected: Sequence[str] = HEADERS) -> DataFrame:
+    """Records of a text frame (``value``), batch or stream, as text columns with ``_corrupt``.
+
+    An explicit text schema keeps leading zeros and reads numbers as written. It would also lose unknown keys, so
+    each record's own keys are held to the contract first.
+    """
+    unknown = F.array_except(F.json_object_keys("value"), F.array(*map(F.lit, expected)))
+    refused = F.raise_error(F.concat(F.lit("the record breaks the contract (unexpected: "), F.array_join(unknown, ", "), F.lit(")")))
+    checked = F.when(F.size(unknown) > 0, refused.cast("string")).otherwise(F.col("value"))
+    parsed = F.from_json(checked, text_schema(expected, corrupt=True), {"columnNameOfCorruptRecord": CORRUPT})
+    return lines.where(F.trim("value") != "").select(parsed.alias("r")).select("r.*")
 
 
 def field_count(record: Column, separator: str) -> Column:
-    """Fields in a delimited record: separators outside quotes plus one."""
-    unquoted = F.regexp_replace(record, r'"([^"]|"")*"', "")
+    """Fields in a delimited record: separators outside quotes plus one.
+
+    A doubled quote is the end of one quoted run and the start of the next, so it needs no pattern of its own.
+    """
+    unquoted = F.regexp_replace(record, '"[^"]*"', "")
     return F.length(unquoted) - F.length(F.replace(unquoted, F.lit(separator), F.lit(""))) + 1
 
 
@@ -119,40 +137,57 @@ def _marked(rows: DataFrame, bad: Column) -> Column:
     return F.when(F.col(CORRUPT).isNotNull(), bad).otherwise(never)
 
 
-def drop_broken_json(rows: DataFrame) -> DataFrame:
-    return rows.where(~_marked(rows, F.lit(True))).drop(CORRUPT)
+def reject_reason(fmt: str, width: int) -> Column:
+    """Why a corrupt text cannot be used; null for a short row, which is padded."""
+    record = F.col(CORRUPT)
+    if fmt == "json":
+        return F.lit("not a JSON record")
+    quotes = F.length(record) - F.length(F.replace(record, F.lit('"'), F.lit("")))
+    return F.when(quotes % 2 == 1, "unbalanced quotes").when(field_count(record, SEPARATORS[fmt]) > width, "too many fields")
 
 
-def split_bad_records(rows: DataFrame, separator: str = ",") -> tuple[DataFrame, DataFrame]:
-    """(good rows, rejected records). Short rows are good: their missing tail is null."""
-    width = len(rows.columns) - 1
-    too_long = _marked(rows, field_count(F.col(CORRUPT), separator) > width)
-    good = rows.where(~too_long).drop(CORRUPT)
-    rejected = rows.where(too_long).select(
-        F.col(CORRUPT).alias("record"), field_count(F.col(CORRUPT), separator).alias("fields")
-    )
-    return good, rejected
+def split_rejects(rows: DataFrame, fmt: str = "csv") -> tuple[DataFrame, DataFrame]:
+    """(good rows, rejected records with their reason). Short rows are good: their missing tail is null."""
+    reason = reject_reason(fmt, len(rows.columns) - 1)
+    rejected = _marked(rows, reason.isNotNull())
+    return rows.where(~rejected).drop(CORRUPT), rows.where(rejected).select(F.col(CORRUPT).alias("record"), reason.alias("reason"))
+
 
+def _good_rows(rows: DataFrame, fmt: str, drop_rejects: bool) -> DataFrame:
+    if drop_rejects:
+        return split_rejects(rows, fmt)[0]
+    reason = reject_reason(fmt, len(rows.columns) - 1)
+    text = F.concat(F.lit("rejected record ("), reason, F.lit("): "), F.substring(CORRUPT, 1, 200))
+    stop = F.when(_marked(rows, reason.isNotNull()), F.raise_error(text).cast("boolean")).otherwise(F.lit(True))
+    return rows.where(stop).drop(CORRUPT)
 
-def bad_record_counts(rows: DataFrame, separator: str = ",") -> DataFrame:
-    """One row: records read, short ones (padded) and long ones (rejected)."""
-    width = len(rows.columns) - 1
-    fields = field_count(F.col(CORRUPT), separator)
+
+def bad_record_counts(rows: DataFrame, fmt: str = "csv") -> DataFrame:
+    """One row: records read, short ones (padded) and rejected ones."""
+    rejected = F.col(CORRUPT).isNotNull() & reject_reason(fmt, len(rows.columns) - 1).isNotNull()
+    padded = F.col(CORRUPT).isNotNull() & ~rejected
     # Spark refuses to read the corrupt text alone, so the records are counted on a data column.
     first = F.col(rows.columns[0])
     return rows.agg(
         (F.count(first) + F.count(F.when(first.isNull(), 1))).alias("records"),
-        F.count(F.when(fields < width, 1)).alias("padded"),
-        F.count(F.when(fields > width, 1)).alias("rejected"),
+        F.count(F.when(padded, 1)).alias("padded"),
+        F.count(F.when(rejected, 1)).alias("rejected"),
     )
 
 
-def check_rejects(counts: DataFrame, most: int = 100) -> int:
-    """Number of rejected records; more than ``most`` stop the load."""
-    rejected = counts.first()["rejected"]
-    if rejected > most:
-        raise ValueError(f"{rejected} bad records, at most {most} are tolerated")
-    return rejected
+MOST_REJECTS = 100
+
+
+def quarantine_rejects(rows: DataFrame, fmt: str, folder: str | None, most: int = MOST_REJECTS) -> tuple[int, int]:
+    """(records read, records rejected). Rejected records are written to ``folder`` before more than ``most`` of
+    them stop the load. Every path uses this: batch, dry run (without a folder) and stream."""
+    counts = bad_record_counts(rows, fmt).first()
+    if counts["rejected"] and folder:
+        split_rejects(rows, fmt)[1].write.mode("overwrite").parquet(folder)
+    if counts["rejected"] > most:
+        kept = f", kept in {folder}" if folder else ""
+        raise ValueError(f"{counts['rejected']} bad records, at most {most} are tolerated{kept}")
+    return counts["records"], counts["rejected"]
 
 
 def project_canonical(df: DataFrame) -> DataFrame:

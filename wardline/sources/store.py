@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
@@ -47,19 +47,45 @@ def to_fact(rows: DataFrame) -> DataFrame:
     return rows.select(*NAMES, "source_rows", "row_hash", F.current_timestamp().alias("ingested_at"))
 
 
-def write_fact(rows: DataFrame, path: str, mode: str = "append", rebalance: bool = False) -> None:
-    """Write by year. The job commits as a whole.
+def write_fact(rows: DataFrame, path: str, mode: str = "append", rebalance: bool = False) -> int:
+    """Write by year and return the number of rows written. The job commits as a whole.
 
-    ``rebalance`` adds a shuffle that merges small files per year and splits a year too big for
-    one task; leave it off where the rows already come in few large partitions.
+    Rows come from the grouping's own exchange. ``rebalance`` adds a second one that merges small files per year and
+    splits a year too big for one task, for sources that were cut into very many partitions.
     """
     rows = rows.hint("rebalance", PARTITION_COLUMN) if rebalance else rows
-    rows.write.mode(mode).partitionBy(PARTITION_COLUMN).parquet(path)
+    seen = Observation()
+    rows.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode(mode).partitionBy(PARTITION_COLUMN).parquet(path)
+    return seen.get["rows"]
 
 
 def truncate(spark: SparkSession, path: str) -> None:
     """Replace the table by an empty one (explicit full reload)."""
     spark.createDataFrame([], FACT_SCHEMA).write.mode("overwrite").parquet(path)
+    spark.createDataFrame([], LOADS).write.mode("overwrite").parquet(loads_path(path))
+
+
+# One row a load: what its input held and what it added. The table itself cannot know the copies of rows that
+# an insert found stored already.
+LOADS = "rows_read long, rows_inserted long"
+
+
+def loads_path(path: str) -> str:
+    return path.rstrip("/") + "_loads"
+
+
+def record_load(spark: SparkSession, path: str, rows_read: int, rows_inserted: int, mode: str = "append") -> None:
+    spark.createDataFrame([(rows_read, rows_inserted)], LOADS).coalesce(1).write.mode(mode).parquet(loads_path(path))
+
+
+def read_loads(spark: SparkSession, path: str) -> DataFrame:
+    return read_fact(spark, loads_path(path), T.StructType.fromDDL(LOADS))
+
+
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes of a file or of the files of a folder; contents are not read."""
+    files = spark.read.format("binaryFile").load(path).select("length")
+    return files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
 
 
 def refuse_if_filled(spark: SparkSession, path: str) -> None:
