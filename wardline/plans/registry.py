@@ -29,7 +29,7 @@ SPARSE = ["ethnicity", "ccsr_diagnosis_description", "ccsr_procedure_code", "gen
 FILTERS = {"year": "1997", "gender": "F", "service_area": "ASIA", "county": ""}
 # Small enough that the smallest tables are sampled as well.
 FIT_ROWS = 2_000
-STREAM_FILES = 1
+STREAM_FILES = 3
 
 # Extra keywords in the languages of the conversations, added to the default rules.
 LOCAL_DIMENSIONS = {
