@@ -2,29 +2,33 @@
 
 from __future__ import annotations
 
-import re
 import string
-import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardline.session import new_folder, shared_root
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and cut its lineage; later readers see the same rows."""
+    """Write ``df`` once to the shared folder and read it from there: its lineage is cut and its size is known.
+
+    The folder is removed when the process ends. Rows come back in any order.
+    """
+    path = new_folder(df.sparkSession, "kept")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def keep_partitions(df: DataFrame) -> DataFrame:
+    """The same by ``checkpoint``, which keeps partitions and their order, but not the size; for narrow tables."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not re.fullmatch(r"local(\[.*\])?", context.master):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="checkpoint-")
-        context.setCheckpointDir(folder)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_root(spark))
     return df.checkpoint()
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from wardline.llm.common import keep
+from wardline.llm.common import keep, keep_partitions
 
 DOC = ["__doc", "__hash"]
 
@@ -44,8 +44,8 @@ def _repeated(docs: DataFrame) -> DataFrame:
     marked = at.select(*DOC, "seq", F.xxhash64("line").alias("h"), F.crc32(F.col("line").cast("binary")).alias("c"), F.regexp_count("line", F.lit(r"\S+")).alias("words"))
     often = marked.groupBy("h", "c").agg(F.count("*").alias("n")).where("n > 1").select("h", "c")
     active = marked.join(often, ["h", "c"]).dropDuplicates([*DOC, "seq"])
-    dealt = keep(active.repartitionByRange(*DOC, "seq").sortWithinPartitions(*DOC, "seq"))
-    return dealt.withColumn("place", F.monotonically_increasing_id())
+    dealt = keep_partitions(active.repartitionByRange(*DOC, "seq").sortWithinPartitions(*DOC, "seq"))
+    return keep(dealt.withColumn("place", F.monotonically_increasing_id()))
 
 
 def _windows(rows: DataFrame, min_words: int) -> DataFrame:
@@ -87,16 +87,17 @@ def repeated_windows(docs: DataFrame, min_words: int) -> DataFrame:
     """(document, seq, m) of every counting window that also occurs at an earlier place."""
     rows = _repeated(docs)
     windows = keep(_windows(rows, min_words))
-    level = keep(_named(rows, ["h", "c"]).select(*DOC, "seq", "place", "rank"))
-    levels = [level.withColumn("k", F.lit(0))]
-    k = 0
+    ranked = [*DOC, "seq", "place", "rank"]
+    level = keep(_named(rows, ["h", "c"]).select(*ranked, F.lit(0).alias("k")))
+    levels, k = [level], 0
     while 2 ** (k + 1) <= min_words:
         further = level.select(*DOC, (F.col("seq") - 2**k).alias("seq"), F.col("rank").alias("next"))
-        level = keep(_named(level.join(further, [*DOC, "seq"]).withColumnRenamed("rank", "here"), ["here", "next"]).select(*DOC, "seq", "place", "rank"))
+        k += 1
+        doubled = level.withColumnRenamed("rank", "here").join(further, [*DOC, "seq"])
+        level = keep(_named(doubled, ["here", "next"]).select(*ranked, F.lit(k).alias("k")))
         if level.isEmpty():
             break
-        k += 1
-        levels.append(level.withColumn("k", F.lit(k)))
+        levels.append(level)
     ranks = levels[0]
     for more in levels[1:]:
         ranks = ranks.unionByName(more)
@@ -105,7 +106,7 @@ def repeated_windows(docs: DataFrame, min_words: int) -> DataFrame:
     sized = sized.withColumn("last", F.col("seq") + F.col("m") - F.pow(F.lit(2), F.col("k")).cast("int"))
     head = ranks.select(*DOC, "seq", "k", "place", F.col("rank").alias("head"))
     tail = ranks.select(*DOC, F.col("seq").alias("last"), "k", F.col("rank").alias("tail"))
-    known = sized.join(head, [*DOC, "seq", "k"]).join(tail, [*DOC, "last", "k"])
+    known = keep(sized.join(head, [*DOC, "seq", "k"]).join(tail, [*DOC, "last", "k"]))
     return _named(known, ["m", "head", "tail"]).where("place > rank").select(*DOC, "seq", "m")
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from wardline.llm.common import keep
+from wardline.llm.common import keep, keep_partitions
 
 # Fixed value: the multiplier of the published jump consistent hash function.
 MULTIPLIER = 2862933555777941757
@@ -75,8 +75,8 @@ def assign(rows: DataFrame, id_column: str = "doc_id", text_column: str = "text"
         )
     )
     order = ["doc_id", "size", "text_crc32", "row"]
-    dealt = keep(narrow.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(*order))
-    ranged = dealt.withColumn("range", F.spark_partition_id())
+    dealt = keep_partitions(narrow.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(*order))
+    ranged = keep(dealt.withColumn("range", F.spark_partition_id()))
     counts = ranged.groupBy("shard", "range").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("shard").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select("shard", "range", before.alias("start"))
