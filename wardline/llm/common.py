@@ -32,6 +32,11 @@ def keep_partitions(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_side(rows: DataFrame, most: int = 100_000) -> DataFrame:
+    """``rows`` (kept before, narrow) marked for broadcast if counted to be ``most`` at most; more are joined by shuffle."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def lower_ascii(text: Column) -> Column:
     """``text`` with A-Z in lower case and every other character as it is.
 

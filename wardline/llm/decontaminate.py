@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from wardline.llm.common import lower_ascii
+from wardline.llm.common import keep, lower_ascii, small_side
 
 WINDOW = 5
 PLAIN = 3
@@ -87,8 +87,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, **options: object) -> DataFrame
     names = {k: options.pop(k) for k in ("id_column", "text_column") if k in options}
     keyed = _keyed(docs, names.get("id_column", "doc_id"), names.get("text_column", "text"))
     settings = {"coverage": 0.8, "band": 2, "broadcast_rows": 1_000_000, "item_column": "item_id", "item_text": "text"} | options
-    found = _found(keyed, benchmark, **settings).select(*KEY).distinct()
-    return keyed.join(found, KEY, "left_anti").drop(*KEY, "__text")
+    found = keep(_found(keyed, benchmark, **settings).select(*KEY).distinct())
+    return keyed.join(small_side(found), KEY, "left_anti").drop(*KEY, "__text")
 
 
 def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
