@@ -1,9 +1,9 @@
 """SentencePiece encoding and decoding with a given vocabulary.
 
 Encoding picks the segmentation with the largest sum of piece scores. An Aho-Corasick automaton over the pieces
-reads the text once; at every position it follows its output links through all pieces that end there, longest
-first, and each relaxes the best score of that position from the best score of the position where it starts
-(Viterbi). Characters that no piece holds are spelled as byte pieces.
+reads the text once; at every position it follows its output links through all pieces that end there, and
+each relaxes the best score of that position from the best score of the position where it starts (Viterbi); of equal
+scores the longer last piece wins. Characters that no piece holds are spelled as byte pieces.
 
 No piece has a space mark behind another character, so the best segmentation of a text is that of its words one
 after the other; the encoder uses this to remember words it has met. The memory it takes for them is bounded.
@@ -16,6 +16,7 @@ ids outside the vocabulary fail; other columns are untouched, whatever their nam
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable
 from dataclasses import astuple, dataclass
 
@@ -56,7 +57,7 @@ def load(path: str = MODEL) -> Vocabulary:
 class Encoder:
     """Text to ids, as little-endian 32-bit numbers in one bytes object."""
 
-    def __init__(self, vocabulary: Vocabulary, remembered: int = 300_000):
+    def __init__(self, vocabulary: Vocabulary, remembered: int = 600_000):
         self.automaton = ahocorasick.Automaton()
         for piece, score, number in vocabulary.pieces:
             self.automaton.add_word(piece, (len(piece), score, number))
@@ -76,33 +77,43 @@ class Encoder:
             self.split = re.compile(f"{inner}{MARK}*[^{MARK}{apart}]+|{MARK}+").findall
 
     def word(self, text: str) -> bytes:
-        """Viterbi over one stretch of text."""
+        """Viterbi over one stretch of text.
+
+        ``best[i]`` is the best score up to and with character i, and ``best[-1]`` that of the empty beginning. The
+        automaton gives the pieces that end at a position longest first, so of equal scores the longest piece stays.
+        """
         n = len(text)
-        best = [0.0] + [-float("inf")] * n
-        back: list[tuple[int, int]] = [(0, -1)] * (n + 1)
-        penalty = self.penalty
-        strange = [] if self.letters.issuperset(text) else [i for i, c in enumerate(text) if c not in self.letters]
-        at = 0
-        for end, (length, score, number) in self.automaton.iter(text):
-            while at < len(strange) and strange[at] <= end:
-                i = strange[at]
-                if best[i] + penalty > best[i + 1]:
-                    best[i + 1], back[i + 1] = best[i] + penalty, (i, -1)
-                at += 1
-            start = end + 1 - length
-            total = best[start] + score
-            if total > best[end + 1]:
-                best[end + 1] = total
-                back[end + 1] = (start, number)
-        for i in strange[at:]:
-            if best[i] + penalty > best[i + 1]:
-                best[i + 1], back[i + 1] = best[i] + penalty, (i, -1)
+        best = [-float("inf")] * n + [0.0]
+        back: list = [None] * n
+        if self.letters.issuperset(text):
+            for end, piece in self.automaton.iter(text):
+                total = best[end - piece[0]] + piece[1]
+                if total > best[end]:
+                    best[end] = total
+                    back[end] = piece
+        else:
+            self._with_unknown(text, best, back)
         out: list[int] = []
-        while n:
-            start, number = back[n]
-            out.extend([number] if number >= 0 else [self.byte_ids[b] for b in reversed(text[start:n].encode())])
-            n = start
-        return np.array(out[::-1], dtype="<i4").tobytes()
+        at = n - 1
+        while at >= 0:
+            length, _, number = back[at]
+            out.extend([number] if number >= 0 else [self.byte_ids[b] for b in reversed(text[at].encode())])
+            at -= length
+        out.reverse()
+        return array("i", out).tobytes()
+
+    def _with_unknown(self, text: str, best: list, back: list) -> None:
+        """The same where some characters are no pieces: each may also stand for itself, to be spelled in bytes."""
+        found: dict[int, list] = {}
+        for end, piece in self.automaton.iter(text):
+            found.setdefault(end, []).append(piece)
+        unknown = (1, self.penalty, -1)
+        for end, letter in enumerate(text):
+            for piece in [*found.get(end, ()), *([] if letter in self.letters else [unknown])]:
+                total = best[end - piece[0]] + piece[1]
+                if total > best[end]:
+                    best[end] = total
+                    back[end] = piece
 
     def __call__(self, text: str) -> bytes:
         if not text:
@@ -120,7 +131,7 @@ class Encoder:
                     if len(known) >= self.remembered:
                         known.clear()
                     ids = self.word(stretch)
-                    if len(stretch) <= 64:
+                    if len(stretch) <= 32:
                         known[stretch] = ids
                 out.append(ids)
         return b"".join(out)
