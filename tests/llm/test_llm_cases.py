@@ -455,5 +455,44 @@ def test_near_duplicates_of_real_texts(spark):
             assert any(b != a and first[b] == first[a] and like(a, b) >= 0.8 for b in ids)
 
 
+def shingle_links(frame, similarity=0.8):
+    """Brute force: the pairs of ids whose sets of five-word shingles have the similarity."""
+    split = {r.doc_id: r.text.lower().split() for r in frame.collect()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in split.items()}
+    ids = sorted(sets)
+    return [(a, b) for a in ids for b in ids if a < b and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])]
+
+
+def same_groups(frame):
+    first = {r["__doc"].v: r["first"]["__doc"].v for r in simhash_near.groups(frame).collect()}
+    linked = shingle_links(frame)
+    rows = [(i, i) for i in first] + linked
+    root = {i: i for i in first}
+    for _ in rows:  # the smallest id travels along the links
+        before = dict(root)
+        for a, b in rows:
+            root[a] = root[b] = min(root[a], root[b])
+        if root == before:
+            break
+    return linked, {i for i in first if first[i] != root[i]}
+
+
+def test_near_duplicates_under_crowded_keys(spark):
+    """Pairs of similarity 0.8 to 0.85 among 300 texts that share a long passage with them (similarity 0.4 to 0.7)."""
+    rng = np.random.default_rng(11)
+    fresh = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    passage = fresh(70)
+    family = [passage + fresh(int(n)) for n in rng.integers(30, 60, 300)]
+    pairs = []
+    for _ in range(30):
+        text = passage + fresh(45)
+        near = text.copy()
+        near[80] = near[100] = "other"
+        pairs += [text, near]
+    frame = docs(spark, *((i, " ".join(t)) for i, t in enumerate(family + pairs)))
+    linked, wrong = same_groups(frame)
+    assert len(linked) == 30 and not wrong
+
+
 def test_no_word_of_a_template_is_lost():
     assert all(re.fullmatch(r"[a-z0-9 ]+", t) for t in [*license_scan.PHRASES, *license_scan.NOTICES])
