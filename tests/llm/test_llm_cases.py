@@ -494,5 +494,25 @@ def test_near_duplicates_under_crowded_keys(spark):
     assert len(linked) == 30 and not wrong
 
 
+def test_near_duplicates_at_the_threshold(spark):
+    """Every pair of similarity 0.8 to 0.85 is found, long and short, down to texts of a single shingle."""
+    rng = np.random.default_rng(12)
+    fresh = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    texts = []
+    for n in range(50, 450, 10):  # inner words changed: each takes five shingles
+        text = fresh(n)
+        near = text.copy()
+        for at in range(10, 10 + 10 * int((n - 4) / 46), 10):
+            near[at] = "other"
+        texts += [text, near]
+    for n in range(8, 40):  # words added at the end, as many as the similarity allows
+        text = fresh(n)
+        texts += [text, text + fresh((n - 4) // 4)]
+    texts += [["a"] * 5, ["a"] * 6, ["b"] * 4, ["b"] * 5]
+    frame = docs(spark, *((i, " ".join(t)) for i, t in enumerate(texts)))
+    linked, wrong = same_groups(frame)
+    assert len(linked) == 40 + 32 + 1 and not wrong
+
+
 def test_no_word_of_a_template_is_lost():
     assert all(re.fullmatch(r"[a-z0-9 ]+", t) for t in [*license_scan.PHRASES, *license_scan.NOTICES])
