@@ -220,6 +220,20 @@ def test_decontamination(spark):
     assert decontaminate.hits(frame.limit(0), bench).count() == 0 and decontaminate.clean(frame, bench.limit(0)).count() == len(rows)
 
 
+def test_edited_items(spark):
+    alice = "Alice has 3 apples. Alice buys 4 more apples. How many apples does Alice have?"
+    sam = "Sam bought 12 pens. Each pen costs 3 dollars and the shop gives one pen for free. Sam paid with a note."
+    plain = "the quick river carries seven old boats past the silent mill at night"
+    bench = spark.createDataFrame([(1, alice), (2, sam), (3, plain)], "item_id long, text string")
+    one = [" ".join(w if i != at else "changed" for i, w in enumerate(plain.split())) for at in range(13)]
+    rows = [
+        (100, "Look: " + alice.replace("Alice", "Bob").replace("3", "5") + " Thanks."), (101, sam.replace("Sam", "Joe")), (102, "x " + alice + " In Apples. " + sam),
+        *enumerate(one), (13, plain.replace("seven", "seven very")),
+        (200, "Bob has 3 apples. Carl buys 4 pears. How many apples does Alice have?"), (201, "the quick river carries seven red cars along a road that nobody knows"),
+    ]
+    assert sorted(r.doc_id for r in decontaminate.clean(docs(spark, *rows), bench).collect()) == [200, 201]
+
+
 # ---- line dedup ---------------------------------------------------------------------------------
 
 
