@@ -234,6 +234,16 @@ def test_edited_items(spark):
     assert sorted(r.doc_id for r in decontaminate.clean(docs(spark, *rows), bench).collect()) == [200, 201]
 
 
+def test_items_without_windows(spark):
+    bench = spark.createDataFrame([(1, "What is 12 + 35?"), (2, "What is 12 * 7 - 5 + 9?"), (3, None), (4, ""), (5, "?!"), (6, "Name Ada Byron")], "item_id long, text string")
+    rows = [
+        (1, "Ask: what is 12 +\n35? Yes."), (2, "What is 12 * 7 - 5 + 9?"), (3, "name Ada Byron"), (4, None), (5, ""), (6, "?!"),
+        (7, "What is 12 - 35?"), (8, "What is 12 + 350?"), (9, "What is 12 * 7 - 5?"), (10, "rename Ada Byron"),
+    ]
+    assert sorted(r.doc_id for r in decontaminate.clean(docs(spark, *rows), bench).collect()) == [4, 5, 6, 7, 8, 9, 10]
+    assert decontaminate.clean(docs(spark, *rows), bench.where("item_id in (3, 4, 5)")).count() == len(rows)
+
+
 # ---- line dedup ---------------------------------------------------------------------------------
 
 

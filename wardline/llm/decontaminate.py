@@ -18,8 +18,11 @@ A name is a capitalised word behind a letter, a digit, a comma, a semicolon or a
 word of a sentence is none. A unit is one of ``UNITS`` behind a number. A window counts if three of its words at
 least hold no placeholder.
 
-Defined results: null and empty texts hold nothing; an item without a counting window (fewer than five words, or
-placeholders nearly everywhere) cannot be told from chance and is not searched for; items with equal text are one
+An item without a counting window (fewer than five words, or placeholders nearly everywhere) cannot be told from chance
+by its template: ``clean`` searches for its exact copies, all its words in sequence and the same signs between them (letter
+case and white space aside); ``hits`` leaves it out. So an item of one common word removes every text that has the word.
+
+Defined results: null and empty texts hold nothing, nor do items without words; items with equal text are one
 item, named by the smallest id; rows that agree in id and text are one document; a passage shared by many
 documents gives one row for each, never pairs of documents; empty tables give an empty result; other columns are
 ignored by ``hits`` and kept by ``clean``.
@@ -111,6 +114,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, **options: object) -> DataFrame
     keyed = _keyed(docs, names.get("id_column", "doc_id"), names.get("text_column", "text"))
     settings = {"coverage": 0.8, "band": 2, "broadcast_rows": 1_000_000, "item_column": "item_id", "item_text": "text"} | options
     whole = _found(keyed, benchmark, **settings).select(*KEY).unionByName(_edited(keyed, benchmark, **settings))
+    copied = _copied(keyed, benchmark, settings["item_column"], settings["item_text"])
+    whole = whole if copied is None else whole.unionByName(copied)
     found = keep(whole.distinct())
     return keyed.join(small_side(found), KEY, "left_anti").drop(*KEY, "__text")
 
@@ -184,6 +189,29 @@ def _edited(keyed: DataFrame, benchmark: DataFrame, coverage: float, band: int,
     return compared.where(held >= F.col("words") * coverage).select(*KEY)
 
 
+def _copied(keyed: DataFrame, benchmark: DataFrame, item_column: str, item_text: str) -> DataFrame | None:
+    """Keys of the documents that hold an item without a counting window; None if there is no such item."""
+    items = _items(benchmark, item_column, item_text)
+    words = lambda text: F.array_remove(F.split(lower_ascii(F.coalesce(text.cast("string"), F.lit(""))), SEPARATORS), "")
+    solid = lambda text: F.regexp_replace(lower_ascii(text), r"\s+", "")
+    counted = _windows(items, ["t"], F.col("t")).select("t").distinct()
+    short = items.join(counted, "t", "left_anti").select(words(F.col("t")).alias("w"), solid(F.col("t").cast("string")).alias("item")).where("size(w) > 0")
+    short = keep(short.select(F.size("w").alias("n"), F.xxhash64("w").alias("hash"), "item").distinct())
+    lengths = sorted(r.n for r in short.select("n").distinct().collect())
+    if not lengths:
+        return None
+    texts = keyed.select(*KEY, words(F.col("__text")).alias("w"))
+
+    def runs(n: int) -> Column:
+        return F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.xxhash64(F.slice("w", i, n))))
+
+    hashes = F.array_distinct(F.flatten(F.array_compact(F.array(*map(runs, lengths)))))
+    met = texts.select(*KEY, F.explode(hashes).alias("hash")).join(small_side(short), "hash").select(*KEY, "item")
+    asked = keep(met.groupBy(*KEY).agg(F.collect_set("item").alias("items")))
+    seen = keyed.select(*KEY, solid(F.col("__text")).alias("s")).join(small_side(asked), KEY)
+    return seen.where(F.exists("items", lambda x: F.contains(F.col("s"), x))).select(*KEY)
+
+
 def _found(keyed: DataFrame, benchmark: DataFrame, coverage: float, band: int, broadcast_rows: int, item_column: str, item_text: str) -> DataFrame:
     of_items = _windows(_items(benchmark, item_column, item_text), ["item_id"], F.col("t"))
     sizes = of_items.groupBy("item_id").agg(F.count("*").alias("windows"))
