@@ -45,3 +45,13 @@ def test_baseline(fact):
     held = [float(r[0]) for r in test.select("total_costs").collect()]
     assert got["train_median"] == pytest.approx(median)
     assert got["baseline_mae"] == pytest.approx(sum(abs(c - median) for c in held) / len(held), abs=1e-3)
+
+
+def test_metrics_rest_on_the_whole_sample(spark, fact):
+    from conftest import SF
+
+    from wardline.plans import registry
+
+    got = registry.ml_cost_metrics(spark, SF).first()
+    usable = fact.where("total_costs is not null")
+    assert got.train_rows == M.split(usable).where("is_train").count() > 2500 and got.train_rows + got.test_rows == usable.count()
