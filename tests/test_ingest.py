@@ -222,3 +222,18 @@ def test_years_follow_the_profile(raw):
     frame = raw({"discharge_year": "2021"}, {"discharge_year": "2020.0"}, {"discharge_year": None})
     assert sorted(years_in(frame), key=str) == [2021, None]
     assert sorted(years_in(frame, "relaxed"), key=str) == [2020, 2021, None]
+
+
+def test_rejects_are_written_by_every_partition(spark, monkeypatch):
+    from compare import connect, difference
+    from conftest import SF
+
+    from wardline.plans import oracle, registry
+
+    staged = registry._stage(spark, SF).repartition(4).cache()
+    monkeypatch.setattr(registry, "_stage", lambda *_: staged)
+    lines = spark.read.text(registry._with_long_rows(spark, SF)).select("value", "_metadata.file_path").collect()
+    headers = [r for r in lines if r.value.startswith('"Hospital Service Area"')]
+    assert len({r.file_path for r in lines}) == len(headers) == 4 and len(lines) == staged.count() + 4
+    assert difference(registry.stream_rejects(spark, SF), connect(SF), oracle.oracle_sql()["stream_rejects"]) is None
+    staged.unpersist()

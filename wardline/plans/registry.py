@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,16 +103,21 @@ def _with_long_rows(spark: SparkSession, d: str) -> str:
     cells = [F.concat(F.lit('"'), F.replace(F.coalesce(F.col(n), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for n in NAMES]
     line = F.concat(F.concat_ws(",", *cells), F.when(F.col("length_of_stay") == "-1", ",x").otherwise(""))
     folder = new_folder(spark, "long")
-    header = spark.range(1, numPartitions=1).select(F.lit(",".join(f'"{HEADER}"' for HEADER in HEADERS)).alias("value"))
-    out = header.unionByName(rows.select(line.alias("value")))
-    out.coalesce(1).write.text(folder)
+    header = ",".join(f'"{HEADER}"' for HEADER in HEADERS)
+
+    def headed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The lines of a file: the header first."""
+        yield pd.DataFrame({"value": [header]})
+        yield from batches
+
+    rows.select(line.alias("value")).mapInPandas(headed, "value string").write.text(folder)
     return folder
 
 
 def stream_rejects(spark: SparkSession, d: str) -> DataFrame:
     """Counters of a stream whose rows of negative stay are a field too long, and the reasons in its quarantine."""
     target = new_folder(spark, "stream")
-    stream.ingest_stream(spark, _with_long_rows(spark, d), target, last_year=LAST_YEAR, most_rejects=2**62)
+    stream.ingest_stream(spark, _with_long_rows(spark, d), target, max_files=STREAM_FILES, last_year=LAST_YEAR, most_rejects=2**62)
     state = ledger.latest_run(stream.read_stream_ledger(spark, target))
     kept = spark.read.parquet(f"{target}/rejected").agg(F.count("*").alias("quarantined"), F.max("reason").alias("reason"))
     counters = state.select("status", "rows_read", "rows_inserted", "rows_dropped", "rows_rejected")
