@@ -200,6 +200,13 @@ def test_key_column_keeps_equal_texts_together(spark):
     assert len({(r.text_crc32, r.shard) for r in got}) == 3
 
 
+def test_quotation_on_a_long_line():
+    far = "plain " * 100
+    flags = lambda t: [m[3] for m in toxicity.Scorer(toxicity.Model()).matches(t)[0]]
+    assert flags(f'"{far}" idiot') == [False] and flags(f'"{far} idiot" moron') == [True, False]
+    assert flags(f"„{far}“ idiot") == [False] and flags(f"“{far} idiot” scum\n“open\nscum") == [True, False, False]
+
+
 # ---- decontamination ----------------------------------------------------------------------------
 
 ITEM = "a train leaves the station with 12 wagons and Anna counts 12 lamps behind every second window"

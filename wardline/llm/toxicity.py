@@ -38,6 +38,7 @@ SEED = ("idiot", "moron", "stupid", "scum", "loser", "trash", "worthless", "path
 REPORT = frozenset("said says wrote called calls quote quoted term word insult sagte nannte wort zitat dit appelé mot cite dijo llamó palabra cita".split())
 ADDRESS = frozenset("you your yourself du dich dein ihr tu toi vous votre tú usted eres".split())
 WORD = r"[^\W_]+"
+MARKS = re.compile('["“”„«»]')
 CONTEXT = 6
 STEM_LENGTHS = range(4, 9)
 FEATURES = ("none", "words", "misspelt", "stems", "quoted", "address", "density", "kinds")
@@ -155,6 +156,33 @@ class Matcher:
         return hit
 
 
+class Quotes:
+    """Open quotation marks of a line, carried along it, so a text is read once; a new line opens none."""
+
+    def __init__(self):
+        self.at = self.straight = self.curly = self.angled = self.low = 0
+
+    def opened(self, text: str, place: int) -> bool:
+        """Whether a quotation is open at ``place``; places must not decrease."""
+        begin = text.rfind("\n", self.at, place) + 1
+        if begin:
+            self.__init__()
+            self.at = begin
+        for mark in MARKS.findall(text, self.at, place):
+            if mark == '"':
+                self.straight ^= 1
+            elif mark in "«»":
+                self.angled += 1 if mark == "«" else -1
+            elif mark == "„":
+                self.low += 1
+            elif self.low > 0:  # a low mark is closed by either curly one
+                self.low -= 1
+            else:
+                self.curly += 1 if mark == "“" else -1
+        self.at = place
+        return self.straight == 1 or self.curly > 0 or self.angled > 0 or self.low > 0
+
+
 class Scorer:
     """Features and score of a text."""
 
@@ -170,12 +198,11 @@ class Scorer:
         if not places:
             return [], len(words)
         starts = [m.start() for m in self.word.finditer(low)]
-        out = []
+        out, quotes = [], Quotes()
         for i in places:
             term, errors = match(words[i])
             near = words[max(0, i - CONTEXT) : i + CONTEXT + 1]
-            line = low[max(low.rfind("\n", 0, starts[i]) + 1, starts[i] - 400) : starts[i]]
-            opened = line.count('"') % 2 == 1 or line.count("“") > line.count("”") or line.count("«") > line.count("»") or line.count("„") > line.count("“")
+            opened = quotes.opened(low, starts[i])
             out.append((words[i], term, errors, opened or not REPORT.isdisjoint(near), not ADDRESS.isdisjoint(near)))
         return out, len(words)
 
