@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import ann, chat_format, decontaminate, license_scan, line_dedup, sentencepiece_codec, sharding, simhash, toxicity, warc_revisit
+from wardline.llm import ann, chat_format, decontaminate, license_scan, line_dedup, sentencepiece_codec, sharding, simhash, spelling, toxicity, warc_revisit
 from wardline.llm.common import table, values
 
 SHARDS = 16
@@ -109,5 +109,10 @@ def op10_simhash_golay(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op12_spelling_variants(spark: SparkSession, d: str) -> DataFrame:
+    found = spelling.group(spelling.word_counts(table(spark, d, "documents")))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}

@@ -197,6 +197,46 @@ FROM merged
 """
 
 
+# Words cut by one letter and joined: at the same place with another word, or with the whole of a shorter one.
+SPELLING = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list_transform(range(256), lambda n: list_reduce([n::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: xor(c >> 1, 3988292384 * (c & 1)))) AS t
+), runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]{5,}')) AS run
+  FROM documents
+), counted AS (
+  SELECT id, run, count(*) AS times FROM runs GROUP BY id, run
+), hashed AS (
+  SELECT run, times, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(id || ':' || run), '..'), lambda h: ('0x' || h)::BIGINT)),
+      lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295)::BIGINT AS crc
+  FROM counted, crc_table
+), typed AS (
+  SELECT times, CASE WHEN crc % 97 = 0 THEN substr(run, 1, (crc % length(run))::INTEGER) || substr(run, (crc % length(run))::INTEGER + 2) ELSE run END AS word FROM hashed
+), words AS MATERIALIZED (
+  SELECT word, sum(times)::BIGINT AS n FROM typed WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3
+), cut AS MATERIALIZED (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1))::INTEGER AS i FROM words)
+), shorter AS MATERIALIZED (
+  SELECT cut.word, cut.n, words.word AS other, words.n AS other_n FROM cut JOIN words ON cut.rest = words.word
+), near AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT word, n, other, other_n FROM shorter
+  UNION SELECT other, other_n, word, n FROM shorter
+), best AS (
+  SELECT word, count(*) AS n_near, min({'m': -other_n, 'other': other}) AS b FROM near GROUP BY word
+), judged AS MATERIALIZED (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -b['m'] >= 2 * n THEN b['other'] END AS form, CASE WHEN -b['m'] >= 2 * n THEN -b['m'] END AS form_n
+  FROM words LEFT JOIN best USING (word)
+), climbed AS (
+  SELECT word, word AS root FROM judged
+  UNION ALL
+  SELECT climbed.word, judged.form AS root FROM climbed JOIN judged ON climbed.root = judged.word WHERE judged.form IS NOT NULL
+)
+SELECT j.word, j.form, c.root, j.n, j.n_near::BIGINT AS n_near, j.form_n::BIGINT AS form_n
+FROM judged j JOIN climbed c ON c.word = j.word JOIN judged e ON e.word = c.root WHERE e.form IS NULL
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_license_scan": LICENSES,
@@ -204,4 +244,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_decontamination": DECONTAMINATION,
         "op7_line_dedup": LINE_DEDUP,
         "op9_warc_revisits": REVISITS,
+        "op12_spelling_variants": SPELLING,
     }
