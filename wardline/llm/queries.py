@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from wardline.llm import ann, chat_format, decontaminate, license_scan, line_dedup, sentencepiece_codec, sharding, simhash, spelling, toxicity, warc_revisit
-from wardline.llm.common import table, values
+from wardline.llm import ann, chat_format, decontaminate, license_scan, line_dedup, prefix_trie, quality_crf, sentencepiece_codec, sharding, simhash, spelling, toxicity, warc_revisit
+from wardline.llm.common import table, text_or_empty, values
 
 SHARDS = 16
 TOXIC = 0.3
@@ -109,10 +110,43 @@ def op10_simhash_golay(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+HEAD_TURNS = 6
+
+
+def rebuilt_conversations(spark: SparkSession, d: str) -> DataFrame:
+    """(conv_id, place, role, text): the first turns of another conversation, then a conversation's own later ones.
+
+    A conversation that is left without turns has one row without a place. Lenders hand on fewer than ``HEAD_TURNS``
+    turns, so no join grows with the length of a conversation.
+    """
+    rows = table(spark, d, "conversations").where("conv_id is not null")
+    texts = [text_or_empty(c).alias(c) for c in ("role", "text")]
+    order = W.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    own = rows.select("conv_id", "turn", *texts).withColumn("at", F.row_number().over(order))
+    own = own.withColumn("h", (F.crc32(F.col("conv_id").cast("string").cast("binary")) % HEAD_TURNS).cast("int"))
+    ids = own.where("at = 1").select("conv_id", "h", (F.col("conv_id") - F.col("conv_id") % 100).alias("lender"))
+    lent = own.where(F.col("at") < HEAD_TURNS).select(F.col("conv_id").alias("lender"), "at", "role", "text")
+    place = lambda part: F.struct(F.lit(part).alias("part"), "at").alias("place")
+    head = ids.join(lent, "lender").where("at <= h").select("conv_id", place(0), "role", "text")
+    rest = own.where("at > h").select("conv_id", place(1), "role", "text")
+    none = ids.select("conv_id", F.lit(None).cast(rest.schema["place"].dataType).alias("place"), F.lit("").alias("role"), F.lit("").alias("text"))
+    return head.unionByName(rest).unionByName(none)
+
+
+def op11_prefix_trie(spark: SparkSession, d: str) -> DataFrame:
+    return prefix_trie.trie(rebuilt_conversations(spark, d))
+
+
 def op12_spelling_variants(spark: SparkSession, d: str) -> DataFrame:
     found = spelling.group(spelling.word_counts(table(spark, d, "documents")))
     return found.select("word", "form", "root", "n", "n_near", "form_n")
 
 
+def op13_quality_rules(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    model = quality_crf.fit(docs, train_rows(table(spark, d, "labels")))
+    return docs.select("doc_id", quality_crf.score(model, F.col("text")).alias("j")).select("doc_id", "j.*")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}

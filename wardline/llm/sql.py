@@ -237,6 +237,47 @@ FROM judged j JOIN climbed c ON c.word = j.word JOIN judged e ON e.word = c.root
 """
 
 
+# Prefixes named by the digests of their turns; subtree sums over every node's ancestors.
+PREFIX_TRIE = r"""
+WITH crc_table AS (
+  SELECT list_transform(range(256), lambda n: list_reduce([n::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: xor(c >> 1, 3988292384 * (c & 1)))) AS t
+), own AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS o
+  FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS lender,
+         xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(conv_id::VARCHAR), '..'), lambda h: ('0x' || h)::BIGINT)),
+             lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295)::BIGINT % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM own), crc_table
+), rebuilt AS (
+  SELECT i.conv_id, 0 AS part, o, role, text FROM ids i JOIN own ON own.conv_id = i.lender AND o <= h
+  UNION ALL SELECT i.conv_id, 1 AS part, o, role, text FROM ids i JOIN own ON own.conv_id = i.conv_id AND o > h
+), seqs AS (
+  SELECT conv_id, list(sha256(role) || sha256(text) ORDER BY part, o) AS turns, list(length(text) ORDER BY part, o) AS sizes FROM rebuilt GROUP BY conv_id
+), whole AS (
+  SELECT conv_id, coalesce(turns, []) AS turns, coalesce(sizes, []) AS sizes FROM ids LEFT JOIN seqs USING (conv_id)
+), prefixes AS (
+  SELECT conv_id, depth, depth = len(turns) AS ends, list_slice(turns, 1, depth) AS path, CASE WHEN depth > 0 THEN sizes[depth] ELSE 0 END AS chars
+  FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS depth FROM whole)
+), nodes AS (
+  SELECT array_to_string(path, '') AS node, CASE WHEN depth > 0 THEN array_to_string(list_slice(path, 1, depth - 1), '') END AS parent, any_value(path) AS path, depth,
+         min(conv_id) AS conv_id, count(*) AS n_convs, max(chars) AS chars, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '') AS ids
+  FROM prefixes GROUP BY 1, 2, depth
+), kids AS (
+  SELECT parent AS node, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY 1
+), told AS (
+  SELECT array_to_string(list_slice(path, 1, up), '') AS node, (n_convs - 1) * chars AS saved, n_children IS NULL AS leaf
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS up FROM nodes LEFT JOIN kids USING (node))
+), sums AS (
+  SELECT node, sum(saved) AS saved, count(*) FILTER (leaf) AS n_leaves FROM told GROUP BY node
+)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs, coalesce(n_children, 0)::BIGINT AS n_children,
+       n_leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, sha256(n.ids) AS ends_sha256
+FROM nodes n JOIN sums s ON s.node = n.node LEFT JOIN kids k ON k.node = n.node LEFT JOIN nodes p ON p.node = n.parent
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_license_scan": LICENSES,
@@ -244,5 +285,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_decontamination": DECONTAMINATION,
         "op7_line_dedup": LINE_DEDUP,
         "op9_warc_revisits": REVISITS,
+        "op11_prefix_trie": PREFIX_TRIE,
         "op12_spelling_variants": SPELLING,
     }
