@@ -160,32 +160,41 @@ def _trie_pairs(words: DataFrame) -> list[DataFrame]:
 
 
 def _deletes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(word, n, place, key): the hash of each word (place -1) and of the word without its letter at ``place``."""
+    """(id, place, key, last): the hash of each word (place -1) and of the word without its letter at ``place``.
+
+    ``last``: the letter is another than the next one; of equal letters in a row it does not matter which one goes.
+    """
     for batch in batches:
-        for word, n in zip(batch["word"], batch["n"], strict=True):
+        for number, word in zip(batch["id"], batch["word"], strict=True):
             codes = [ord(c) for c in word]
             before = [0]  # hashes of the beginnings
             for x in codes:
                 before.append((before[-1] * BASE + x) % MODULUS)
-            keys, behind, power = [], 0, 1  # hash of the end after the place, and the weight of what stands before it
+            keys, last, behind, power = [], [], 0, 1  # hash of the end after the place, and the weight of what stands before it
             for i in range(len(codes) - 1, -1, -1):
                 keys.append((before[i] * power + behind) % MODULUS)
+                last.append(i + 1 == len(codes) or codes[i] != codes[i + 1])
                 behind = (codes[i] * power + behind) % MODULUS
                 power = power * BASE % MODULUS
             keys.append(before[-1])
+            last.append(False)
             for at in range(0, len(keys), 10_000):
                 part = keys[at : at + 10_000]
                 places = range(len(codes) - 1 - at, len(codes) - 1 - at - len(part), -1)
-                yield pd.DataFrame({"word": word, "n": n, "place": list(places), "key": part})
+                yield pd.DataFrame({"id": number, "place": list(places), "key": part, "last": last[at : at + 10_000]})
 
 
 def _long_pairs(words: DataFrame) -> DataFrame:
     """(word, n, other, other_n) of long words: equal without one letter at the same place, or equal to the whole other."""
-    keys = keep(words.mapInPandas(_deletes, "word string, n long, place int, key long"))
-    cut, whole = keys.where("place >= 0"), keys.where("place = -1").select(F.col("word").alias("other"), F.col("n").alias("other_n"), "key")
-    same = cut.select(F.col("word").alias("other"), F.col("n").alias("other_n"), "place", "key")
-    met = cut.join(same, ["key", "place"]).where("other > word").drop("place").unionByName(cut.join(whole, "key").drop("place"))
-    return met.where(F.levenshtein("word", "other", 1) == 1).select("word", "n", "other", "other_n")
+    words = keep(words.withColumn("id", F.monotonically_increasing_id()))
+    keys = keep(words.select("id", "word").mapInPandas(_deletes, "id long, place int, key long, last boolean"))
+    cut, whole = keys.where("place >= 0"), keys.where("place = -1").select(F.col("id").alias("other"), "key")
+    same = cut.select(F.col("id").alias("other"), "place", "key")
+    met = cut.join(same, ["key", "place"]).where("other > id").select("id", "other")
+    met = met.unionByName(cut.where("last").join(whole, "key").select("id", "other")).distinct()
+    others = words.select(F.col("id").alias("other"), F.col("word").alias("other_word"), F.col("n").alias("other_n"))
+    met = met.join(words, "id").join(others, "other")
+    return met.where(F.levenshtein("word", "other_word", 1) == 1).select("word", "n", F.col("other_word").alias("other"), "other_n")
 
 
 def near_pairs(words: DataFrame, trie_length: int = 40) -> DataFrame:
