@@ -6,7 +6,9 @@ each relaxes the best score of that position from the best score of the position
 scores the longer last piece wins. Characters that no piece holds are spelled as byte pieces.
 
 No piece has a space mark behind another character, so the best segmentation of a text is that of its words one
-after the other; the encoder uses this to remember words it has met. The memory it takes for them is bounded.
+after the other. A batch of texts is cut into words column-wise, each different word is segmented once, and the ids are
+gathered by index; words met in earlier batches are remembered, in two generations, so that those in use stay when
+memory is full. Texts with spaces in odd places are cut one by one, with the same result.
 
 Defined results: a null text has a null list of ids, an empty text an empty one; equal texts have equal ids; a
 space mark (U+2581) that stands in the text itself is spelled as bytes, so decoding gives back every text exactly;
@@ -23,11 +25,13 @@ from dataclasses import astuple, dataclass
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
+SLICE = 1 << 22  # bytes of text that are laid out in columns at a time
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -57,7 +61,7 @@ def load(path: str = MODEL) -> Vocabulary:
 class Encoder:
     """Text to ids, as little-endian 32-bit numbers in one bytes object."""
 
-    def __init__(self, vocabulary: Vocabulary, remembered: int = 600_000):
+    def __init__(self, vocabulary: Vocabulary, remembered: int = 200_000):
         self.automaton = ahocorasick.Automaton()
         for piece, score, number in vocabulary.pieces:
             self.automaton.add_word(piece, (len(piece), score, number))
@@ -67,7 +71,9 @@ class Encoder:
         self.byte_ids = vocabulary.byte_ids
         self.remembered = remembered
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         used = set().union(*(p for p, _, _ in vocabulary.pieces))
+        self.by_word = "\n" not in used and not any(MARK in p.lstrip(MARK) for p, _, _ in vocabulary.pieces)
         if any(MARK in p.lstrip(MARK) for p, _, _ in vocabulary.pieces):
             self.split: Callable[[str], list[str]] = lambda text: [text]
         else:
@@ -85,19 +91,23 @@ class Encoder:
         n = len(text)
         best = [-float("inf")] * n + [0.0]
         back: list = [None] * n
-        if self.letters.issuperset(text):
-            for end, piece in self.automaton.iter(text):
-                total = best[end - piece[0]] + piece[1]
-                if total > best[end]:
-                    best[end] = total
-                    back[end] = piece
-        else:
+        for end, piece in self.automaton.iter(text):
+            length, score, _ = piece
+            total = best[end - length] + score
+            if total > best[end]:
+                best[end] = total
+                back[end] = piece
+        if n and back[-1] is None:  # a character that is no piece cuts the text off
+            best[:n], back[:] = [-float("inf")] * n, [None] * n
             self._with_unknown(text, best, back)
         out: list[int] = []
         at = n - 1
         while at >= 0:
             length, _, number = back[at]
-            out.extend([number] if number >= 0 else [self.byte_ids[b] for b in reversed(text[at].encode())])
+            if number >= 0:
+                out.append(number)
+            else:
+                out += [self.byte_ids[b] for b in reversed(text[at].encode())]
             at -= length
         out.reverse()
         return array("i", out).tobytes()
@@ -118,24 +128,67 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        known, out = self.known, []
+        out = []
         # A space mark of the text's own is set apart before spaces become marks.
         own = text.split(MARK)
         literal = np.array([self.byte_ids[b] for b in MARK.encode()], dtype="<i4").tobytes()
         for k, part in enumerate(own):
             if k:
                 out.append(literal)
-            for stretch in self.split((MARK if k == 0 else "") + part.replace(" ", MARK)):
-                ids = known.get(stretch)
-                if ids is None:
-                    if len(known) >= self.remembered:
-                        known.clear()
-                    ids = self.word(stretch)
-                    if len(stretch) <= 32:
-                        known[stretch] = ids
-                out.append(ids)
+            out += map(self.remember, self.split((MARK if k == 0 else "") + part.replace(" ", MARK)))
         return b"".join(out)
 
+    def remember(self, stretch: str) -> bytes:
+        """Ids of a stretch, looked up first. What is used moves to the younger half of the memory; a full one becomes the older."""
+        ids = self.known.get(stretch)
+        if ids is None:
+            ids = self.older.pop(stretch, None)
+            if ids is None:
+                parts = self.split(stretch)
+                ids = self.word(stretch) if len(parts) == 1 else b"".join(map(self.word, parts))
+            if len(stretch) <= 32:
+                if len(self.known) >= self.remembered:
+                    self.known, self.older = {}, self.known
+                self.known[stretch] = ids
+        return ids
+
+    def many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and how many each has; null texts have none."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        broken = pc.replace_substring(texts, "\n", " \n")
+        odd = pc.or_(pc.match_substring(broken, "  "), pc.match_substring(texts, MARK))
+        odd = pc.or_(odd, pc.or_(pc.match_substring_regex(texts, r"\A[ \n]"), pc.match_substring_regex(texts, r" \z")))
+        plain = pc.and_not(pc.greater(pc.binary_length(texts), 0), odd).to_numpy(zero_copy_only=False)
+        if not self.by_word:
+            plain[:] = False
+        # a unit for each word of the plain texts, in order
+        lists = pc.split_pattern(broken.filter(pa.array(plain)), " ")
+        flat = lists.flatten().dictionary_encode()
+        # what stands between two spaces; a line break in front takes the place of the space
+        words = [self.remember(u if u[0] == "\n" else MARK + u) for u in flat.dictionary.to_pylist()]
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) // 4
+        starts = np.cumsum(sizes) - sizes
+        codes = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        taken = sizes[codes]
+        ends = np.cumsum(taken)
+        total = int(ends[-1]) if len(ends) else 0
+        place = np.repeat(starts[codes] - (ends - taken), taken) + np.arange(total)
+        ids = np.frombuffer(b"".join(words), dtype="<i4")[place]
+        borders = np.concatenate([[0], ends])[np.asarray(lists.offsets)]
+        counts = np.zeros(len(texts), dtype=np.int64)
+        counts[plain] = np.diff(borders)
+        if plain.all():
+            return ids, counts
+        parts, at = [], 0
+        for i in range(len(texts)):
+            if plain[i]:
+                parts.append(ids[borders[at] : borders[at + 1]])
+                at += 1
+            else:
+                parts.append(np.frombuffer(self(texts[i].as_py()), dtype="<i4"))
+                counts[i] = len(parts[-1])
+        return np.concatenate([*parts, np.zeros(0, dtype="<i4")]), counts
+
 
 class Decoder:
     """Ids to text; the space that encoding puts before the first word is taken away."""
@@ -152,6 +205,13 @@ class Decoder:
         return text[1:] if text.startswith(" ") else text
 
 
+def _slices(sizes: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of texts of about ``SLICE`` bytes together (or one longer text)."""
+    part = np.cumsum(sizes) // SLICE
+    cuts = np.flatnonzero(np.diff(part)) + 1
+    return list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(sizes)], strict=True)) if len(sizes) else []
+
+
 def encode(spark: SparkSession, vocabulary: Vocabulary, text: Column) -> Column:
     """``text`` as an array of ids."""
     shared, ready = spark.sparkContext.broadcast(astuple(vocabulary)), []
@@ -160,10 +220,11 @@ def encode(spark: SparkSession, vocabulary: Vocabulary, text: Column) -> Column:
     def ids(texts: pa.Array) -> pa.Array:
         if not ready:
             ready.append(Encoder(Vocabulary(*shared.value)))
-        parts = [None if t is None else ready[0](t) for t in texts.to_pylist()]
-        ends = np.cumsum([0, *(0 if p is None else len(p) // 4 for p in parts)], dtype=np.int32)
-        flat = pa.array(np.frombuffer(b"".join(p or b"" for p in parts), dtype="<i4"), pa.int32())
-        return pa.ListArray.from_arrays(pa.array(ends), flat, mask=pa.array([p is None for p in parts]))
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        parts = [ready[0].many(texts.slice(a, b - a)) for a, b in _slices(sizes)]
+        flat = np.concatenate([*(ids for ids, _ in parts), np.zeros(0, dtype="<i4")])
+        ends = np.cumsum(np.concatenate([np.zeros(1, dtype=np.int64), *(counts for _, counts in parts)])).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()), mask=texts.is_null())
 
     return ids(text.cast("string"))
 
