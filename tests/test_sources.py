@@ -5,6 +5,7 @@ from conftest import line, record, rows_of, write_csv
 
 from wardline.schema import FACT_SCHEMA, HEADERS, NAMES, RAW_SCHEMA
 from wardline.sources import ledger, readers, store
+from wardline.sources import multiline as split_lines
 
 
 def test_csv_quirks(spark, tmp_path):
@@ -56,6 +57,41 @@ def test_a_large_file_is_read_by_several_tasks(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+ODD_CELLS = ["two\nlines", "\n", 'a "quoted\nword"', "x\n\n\ny", "plain", 'only "quotes"', ",\n,", "crlf\r\nhere"]
+
+
+@pytest.mark.parametrize("size", [60, 700, 5000, 10**8])
+def test_line_breaks_in_quotes_across_splits(spark, tmp_path, size):
+    for name, shift in (("a", 0), ("b", 3)):
+        rows = [line(facility_name=ODD_CELLS[(i + shift) % len(ODD_CELLS)], permanent_facility_id=f"{name}{i}") for i in range(40)]
+        write_csv(tmp_path / f"{name}.csv", rows, bom=name == "a")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        read = readers.read_source(spark, str(tmp_path), "csv", multiline="split")
+        found = {r["Permanent Facility Id"]: r["Facility Name"] for r in read.collect()}
+        tasks = split_lines._lines(spark, str(tmp_path)).rdd.getNumPartitions()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    expected = {f"{n}{i}": ODD_CELLS[(i + s) % len(ODD_CELLS)] for n, s in (("a", 0), ("b", 3)) for i in range(40)}
+    assert {k: v.replace("\r\n", "\n") for k, v in found.items()} == {k: v.replace("\r\n", "\n") for k, v in expected.items()}
+    assert tasks > 5 or size > 10**6
+
+
+def test_split_reader_keeps_the_contract(spark, tmp_path):
+    path = write_csv(tmp_path / "a.csv", [line(), line(facility_name="two\nlines") + ",extra", ",".join(line().split(",")[:5]), line(facility_name='open "')[:-1] + '"'])
+    marked = readers.read_source(spark, path, multiline="split", keep_corrupt=True)
+    counts = readers.bad_record_counts(marked).first().asDict()
+    assert counts["records"] == 4 and counts["padded"] == 1 and counts["rejected"] >= 1
+    with pytest.raises(Exception, match="rejected record"):
+        readers.read_source(spark, path, multiline="split").collect()
+    write_csv(tmp_path / "b.csv", [line()], list(reversed(HEADERS)))
+    with pytest.raises(Exception, match="(?i)header"):
+        readers.read_source(spark, str(tmp_path), "csv", multiline="split", drop_rejects=True).collect()
+    assert readers.read_source(spark, write_csv(tmp_path / "d.csv", []), multiline="split").count() == 0
+
+
 def test_unknown_json_key_and_repeated_header(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"Facility Name": "B", "Total Cost": 1}\n')
     with pytest.raises(Exception, match="unexpected: Total Cost"):

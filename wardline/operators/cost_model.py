@@ -14,7 +14,9 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardline.functions import orderstat
 from wardline.functions.identity import hash_below
+from wardline.functions.money import cents
 
 # Model inputs, target, sample size, share of training rows, seed.
 FEATURES = [
@@ -54,6 +56,38 @@ def train_test(fact: DataFrame, fit_rows: int = FIT_ROWS, seed: int = SEED) -> t
     return hash_sample(marked.where("is_train"), fit_rows, seed), marked.where("NOT is_train")
 
 
+def train_rows(fact: DataFrame, seed: int = SEED) -> DataFrame:
+    return train_test_whole(fact, seed)[0]
+
+
+def train_test_whole(fact: DataFrame, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """All training rows and all held-out rows."""
+    marked = split(fact.where(F.col(TARGET).isNotNull()).select("row_hash", TARGET, *FEATURES), seed=seed)
+    return marked.where("is_train"), marked.where("NOT is_train")
+
+
+def exact_sample(rows: DataFrame, size: int, seed: int = SEED) -> DataFrame:
+    """Exactly ``size`` rows (all, if fewer): those with the smallest hash draws, whatever the partitioning.
+
+    Histograms of the draws' first digits find the last draw that is taken, so nothing is sorted as a whole.
+    """
+    draw = F.sha2(F.concat("row_hash", F.lit(f":{seed}")), 256)
+    last = orderstat.draw_below(rows, draw, size)
+    return rows if last is None else rows.where(draw <= F.lit(last))
+
+
+def exact_baseline(train: DataFrame, test: DataFrame) -> DataFrame:
+    """One row: the median cost in cents of all training rows, and the sum of twice the held-out rows' distances to it.
+
+    Twice the median is a whole number of cents, so both figures are exact.
+    """
+    middle = orderstat.median(train, cents(TARGET))
+    twice = F.lit(None if middle is None else int(2 * middle)).cast("long")
+    known = train.agg(F.count(TARGET).alias("train_rows"))
+    held = test.agg(F.count(TARGET).alias("test_rows"), F.sum(F.abs(2 * cents(TARGET) - twice)).alias("twice_error_cents"))
+    return held.select(known.scalar().alias("train_rows"), F.lit(middle).cast("double").alias("median_cents"), "test_rows", "twice_error_cents")
+
+
 def median_baseline(train: DataFrame, test: DataFrame) -> DataFrame:
     """One row: the training median and its mean absolute error on the test rows.
 

@@ -145,14 +145,17 @@ def strict_scores(fact: DataFrame, last_year: int) -> DataFrame:
     )
 
 
-def strict_report(fact: DataFrame, last_year: int) -> DataFrame:
-    """Rounded scores; the read counter comes from the ``source_rows`` the load kept."""
-    rounded = fact.agg(
+def strict_aggregates(last_year: int) -> list[Column]:
+    """Aggregates of the rounded scores; the read counter comes from the ``source_rows`` the load kept."""
+    return [
         *[F.round(X.ratio(F.sum(X.one(c)), F.count("*")), 4).alias(n) for n, c in strict_conditions(last_year).items()],
         F.round(X.ratio(F.count("*"), F.sum("source_rows")), 4).alias("uniqueness"),
         F.coalesce(F.sum("source_rows"), F.lit(0)).alias("sample_size"),
-    )
-    return rounded.withColumn("overall", overall())
+    ]
+
+
+def strict_report(fact: DataFrame, last_year: int) -> DataFrame:
+    return fact.agg(*strict_aggregates(last_year)).withColumn("overall", overall())
 
 
 def cell_scores(fact: DataFrame, columns: Sequence[str], rules: dict[str, Column], consistency: Column) -> DataFrame:

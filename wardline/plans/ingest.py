@@ -12,7 +12,7 @@ import datetime as dt
 import json
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.functions.identity import row_hash
@@ -81,19 +81,15 @@ def ingest(
     """Load one file or folder into the table at ``target`` and return the counters and scores.
 
     ``fmt`` (csv, tsv, json) is needed where the path does not end in a known file ending. Rejected records go to
-    the folder ``quarantine`` (beside the table unless given); more than ``most_rejects`` stop the load.
+    the folder ``quarantine`` (unless given, one of this run beside the table, so no load's rejects pass for
+    another's); more than ``most_rejects`` stop the load.
     """
     began = time.perf_counter()
     last_year = last_year or dt.datetime.now(dt.timezone.utc).year
     fmt = fmt or readers.source_format(source)
-    marked = readers.read_source(spark, source, fmt, multiline=multiline, keep_corrupt=True)
+    marked = readers.read_source(spark, source, fmt, multiline=readers.SPLIT if multiline else False, keep_corrupt=True)
     if dry_run:
-        records, rejected = readers.quarantine_rejects(marked, fmt, None, most_rejects)
-        raw = _good(marked, fmt)
-        rows = cleaned_table(raw, profile)
-        kept = rows.count()
-        counters = {"rows_read": records - rejected, "rows_inserted": kept, "rows_dropped": records - rejected - kept, "rows_rejected": rejected}
-        return {**counters, "quality": _scores(raw, rows, profile, last_year), "dry_run": True, "source": source}
+        return {**_dry_run(spark, marked, fmt, profile, last_year, most_rejects), "dry_run": True, "source": source}
 
     if not truncate:
         store.refuse_if_filled(spark, target)
@@ -105,7 +101,7 @@ def ingest(
         # The text is parsed once into a columnar staging table; every later step reads that.
         marked.write.parquet(staged)
         marked = spark.read.schema(marked.schema).parquet(staged)
-        records, rejected = readers.quarantine_rejects(marked, fmt, quarantine or f"{target.rstrip('/')}_rejected", most_rejects)
+        records, rejected = readers.quarantine_rejects(marked, fmt, quarantine or f"{target.rstrip('/')}_rejected/run_id={run}", most_rejects)
         raw = _good(marked, fmt)
         mode = "overwrite" if truncate else "append"
         added = store.write_fact(store.to_fact(cleaned_table(raw, profile)), target, mode, rebalance)
@@ -128,6 +124,27 @@ def ingest(
             "run_id": run, "elapsed_seconds": elapsed}
 
 
+def _dry_run(spark: SparkSession, marked: DataFrame, fmt: str, profile: str, last_year: int, most_rejects: int) -> dict:
+    """Counters and scores of a load that is not written: one pass over the text, observed on its way.
+
+    The relaxed scores are those of the raw rows, by groups of equal ones, and take a pass of their own.
+    """
+    read, kept = Observation(), Observation()
+    seen = marked.observe(read, *readers.record_counts(marked, fmt))
+    rows = cleaned_table(_good(seen, fmt), profile)
+    rows.observe(kept, F.count(F.lit(1)).alias("rows"), *quality.strict_aggregates(last_year)).write.format("noop").mode("overwrite").save()
+    records, rejected = read.get["records"], read.get["rejected"]
+    readers.refuse_rejects(rejected, most_rejects)
+    found = kept.get
+    counters = {"rows_read": records - rejected, "rows_inserted": found.pop("rows"), "rows_rejected": rejected}
+    counters["rows_dropped"] = counters["rows_read"] - counters["rows_inserted"]
+    if profile == "strict":
+        scores = spark.createDataFrame([found]).withColumn("overall", quality.overall()).first().asDict() if counters["rows_inserted"] else {**found, "overall": None}
+    else:
+        scores = quality.assess(cleaning.missing_tokens(_good(marked, fmt)), last_year).first().asDict()
+    return {**counters, "quality": scores}
+
+
 def _good(marked: DataFrame, fmt: str) -> DataFrame:
     return readers.project_canonical(readers.split_rejects(marked, fmt)[0])
 
@@ -153,7 +170,7 @@ def main() -> None:
     parser.add_argument("--profile", choices=PROFILES, default="strict")
     parser.add_argument("--truncate", action="store_true", help="replace the table")
     parser.add_argument("--dry-run", action="store_true", help="clean and score without writing")
-    parser.add_argument("--multiline", action="store_true", help="line breaks inside quotes: one task reads a file")
+    parser.add_argument("--multiline", action="store_true", help="line breaks inside quotes (in a stream: one task reads a file)")
     parser.add_argument("--most-rejects", type=int, default=readers.MOST_REJECTS)
     parser.add_argument("--stream", action="store_true", help="consume the folder as a file stream")
     parser.add_argument("--max-files", type=int, help="files per batch of a stream")

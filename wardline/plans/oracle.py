@@ -493,6 +493,45 @@ MODEL_FEATURES = [
 ]
 
 
+def _floor_div(a: str, b: str) -> str:
+    return f"((({a}) - ((({a}) % ({b})) + ({b})) % ({b})) // ({b}))"
+
+
+def _boosted(rounds: int = 5) -> list[str]:
+    """Five rounds of one-level trees over the feature combinations; ties to the earlier feature and the smaller left side."""
+    known = ", ".join(f"coalesce({c}, chr(30)) as {c}" for c in MODEL_FEATURES)
+    features = ", ".join(MODEL_FEATURES)
+    steps = [
+        *MODEL_TABLES[:2],
+        f"cells as materialized (select {features}, cast(count(*) as bigint) as n, cast(sum(c) as bigint) as total from (select {known}, cast(total_costs * 100 as bigint) as c from train) group by all)",
+        f"base as materialized (select cast({_floor_div('sum(total)', 'sum(n)')} as bigint) as base from cells)",
+        f"c0 as materialized (select {features}, n, cast(total - n * base as bigint) as r from cells, base)",
+    ]
+    for i in range(rounds):
+        long = " union all ".join(f"select {k} as feature, {f} as category, n, r from c{i}" for k, f in enumerate(MODEL_FEATURES))
+        pick = "case b.feature " + " ".join(f"when {k} then x.{f}" for k, f in enumerate(MODEL_FEATURES)) + " end"
+        high_r, high_n = "(r_all - r_low)", "(n_all - n_low)"
+        gain = lambda r, n: f"cast({_floor_div(r, n)} as hugeint) * cast({r} as hugeint)"
+        steps += [
+            f"s{i} as (select feature, category, cast(sum(n) as bigint) as n, cast(sum(r) as bigint) as r from ({long}) group by all)",
+            f"o{i} as materialized (select feature, category, row_number() over w as place, cast(sum(n) over w as bigint) as n_low, cast(sum(r) over w as bigint) as r_low, "
+            f"cast(sum(n) over (partition by feature) as bigint) as n_all, cast(sum(r) over (partition by feature) as bigint) as r_all "
+            f"from (select *, {_floor_div('r', 'n')} as mean from s{i}) window w as (partition by feature order by mean, category rows between unbounded preceding and current row))",
+            f"b{i} as materialized (select feature, place, {_floor_div('r_low', '(2 * n_low)')} as low, {_floor_div(high_r, f'(2 * {high_n})')} as high from o{i} "
+            f"where n_all > n_low order by {gain('r_low', 'n_low')} + {gain(high_r, high_n)} desc, feature, place limit 1)",
+            f"l{i} as materialized (select o.feature, o.category from o{i} o, b{i} b where o.feature = b.feature and o.place <= b.place)",
+            f"c{i + 1} as materialized (select x.* replace (cast(x.r - x.n * (case when l.category is null then b.high else b.low end) as bigint) as r) "
+            f"from c{i} x cross join b{i} b left join l{i} l on l.category = {pick})",
+        ]
+    pred, joins = "base", ""
+    for i in range(rounds):
+        pick = f"case b{i}.feature " + " ".join(f"when {k} then coalesce(x.{f}, chr(30))" for k, f in enumerate(MODEL_FEATURES)) + " end"
+        joins += f" cross join b{i} left join l{i} on l{i}.category = {pick}"
+        pred += f" + case when l{i}.category is null then b{i}.high else b{i}.low end"
+    steps.append(f"boosted as (select x.row_hash, x.total_costs, cast({pred} as bigint) as predicted_cents from marked x cross join base{joins} where not x.is_train)")
+    return steps
+
+
 def _relaxed() -> str:
     tokens = _in(X.MISSING_TOKENS)
     tokened = ", ".join(f"case when {c} not in {tokens} then {c} end as {c}" for c in NAMES)
@@ -558,6 +597,13 @@ def oracle_sql() -> dict[str, str]:
         "scan_csv": on_raw("select " + ", ".join(f"nullif({n}, '') as {n}" for n in NAMES) + " from raw"),
         "scan_jsonl": on_raw("select * from raw"),
         "project_canonical": on_raw("select * from raw"),
+        "scan_csv_multiline": on_raw(
+            "select " + ", ".join("nullif(replace(facility_name, ' ', chr(10)), '') as facility_name" if n == "facility_name" else f"nullif({n}, '') as {n}" for n in NAMES) + " from raw"
+        ),
+        "stream_state_dedup": on_fact("select row_hash, discharge_year, facility_name, length_of_stay, total_charges, total_costs from fact"),
+        "uncommitted_load": on_fact(
+            "select case when age_group = '0 to 17' then 'a' else 'c' end as load, row_hash, source_rows, total_costs, discharge_year from fact where age_group = '0 to 17' or gender = 'M'"
+        ),
         "stream_ingest": on_fact("select row_hash, discharge_year, facility_name, length_of_stay, total_charges, total_costs from fact"),
         "ingest_strict": on_fact("select * from fact"),
         "bad_records": on_raw(
@@ -679,6 +725,22 @@ def oracle_sql() -> dict[str, str]:
         ),
         "profile_columns": on_fact(_profile()),
         "profile_top_values": on_fact(_top_values()),
+        "profile_heavy_hitters": on_fact(_top_values()),
+        "profile_sketches": on_fact(" union all ".join(
+            f"select '{c}' as column_name, cast(count(*) as bigint) as rows, cast(count(*) - count({c}) as bigint) as missing, cast(count(distinct {c}) as bigint) as distinct_values, true as within_bound from fact"
+            for c in NAMES
+        )),
+        "cube_after_two_loads": on_fact(" union all ".join(
+            f"select '{d}' as dimension, cast({c} as varchar) as dimension_value, " + ", ".join(f'{m} as "{n}"' for n, m in METRICS.items()) + f" from fact group by {c}"
+            for d, c in A.DIMENSIONS.items()
+        )),
+        "overview_cube": on_fact(_overview()),
+        "cross_source_diff": on_fact(
+            "select row_hash, facility_name, total_costs, 'left' as side, cast(1 as bigint) as times from fact where row_hash not in (select row_hash from hashed) "
+            "union all select row_hash, facility_name, total_costs, 'right', 1 from hashed where row_hash not in (select row_hash from fact)",
+            "copied as (select * replace (cast(total_costs + case when row_hash like '00%' then 1 else 0 end as decimal(14,2)) as total_costs) from fact where row_hash not like '01%')",
+            f"hashed as (select * replace ({_hash(NAMES)} as row_hash) from copied)",
+        ),
         "dup_estimate": on_raw(
             "select cast(n as bigint) as rows_examined, cast(u as bigint) as distinct_rows, cast(n - u as bigint) as duplicate_rows, cast(n - u as double) / cast(n as double) as duplicate_rate "
             "from (select count(*) as n, count(distinct row_hash) as u from hashed)", hashed
@@ -712,6 +774,17 @@ def oracle_sql() -> dict[str, str]:
             "select cast(count(*) as bigint) as test_rows, max(m) as train_median, round(avg(abs(cast(total_costs as double) - m)), 4) as baseline_mae "
             "from marked, (select median(cast(total_costs as double)) as m from fitted) where not is_train", *MODEL_TABLES
         ),
+        "ml_sample_exact": on_fact(f"select row_hash, total_costs from train order by sha256(row_hash || ':42') limit {R.MODEL_ROWS}", *MODEL_TABLES[:2]),
+        "ml_median_all": on_fact(
+            "select (select cast(count(*) as bigint) from train) as train_rows, max(m) as median_cents, cast(count(*) as bigint) as test_rows, "
+            "cast(sum(abs(2 * cast(total_costs * 100 as bigint) - cast(2 * m as bigint))) as bigint) as twice_error_cents "
+            "from marked, (select median(cast(total_costs * 100 as bigint)) as m from train) where not is_train", *MODEL_TABLES[:2]
+        ),
+        "ml_boost_scores": on_fact("select row_hash, total_costs, predicted_cents from boosted", *_boosted()),
+        "ml_boost_metrics": on_fact(
+            "select cast(count(*) as bigint) as rows, cast(sum(abs(c - predicted_cents)) as bigint) as error_cents, "
+            "cast(sum(abs(c - predicted_cents)) as double) / cast(count(*) as double) as mean_error_cents from (select *, cast(total_costs * 100 as bigint) as c from boosted)", *_boosted()
+        ),
         "bench_overview": on_fact(SUMMARY),
         "bench_diseases_top": on_fact(_agg("disease", ["count"], 10)),
         "bench_diseases_cost": on_fact(_agg("disease", COST_METRICS, 10)),

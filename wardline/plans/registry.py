@@ -12,14 +12,15 @@ from wardline import fixtures
 from wardline.functions import text as X
 from wardline.functions.identity import row_hash
 from wardline.operators import aggregate as A
-from wardline.operators import answers, cleaning, cost_model, dedup, overview, profile, quality
+from wardline.operators import answers, boosting, cleaning, cost_model, dedup, hashtree, overview, profile, quality, sketches
 from wardline.operators import questions as Q
-from wardline.plans import incremental, tables
+from wardline.plans import cube, incremental, tables
 from wardline.plans.ingest import cleaned_table, reconcile
 from wardline.schema import HEADER_TO_NAME, HEADERS, NAMES, RAW_SCHEMA, TEXT_COLUMNS
 from wardline.session import new_folder
-from wardline.sources import ledger, readers, store
+from wardline.sources import commits, ledger, readers, store
 from wardline.streaming import ingest as stream
+from wardline.streaming import state
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -71,6 +72,16 @@ def scan_jsonl(spark: SparkSession, d: str) -> DataFrame:
     return readers.project_canonical(readers.read_source(spark, tables.json_folder(spark, d), "json"))
 
 
+def scan_csv_multiline(spark: SparkSession, d: str) -> DataFrame:
+    """Rows whose facility names hold line breaks, written as text and read again."""
+    names = {n: h for h, n in HEADER_TO_NAME.items()}
+    rows = _stage(spark, d).withColumn("facility_name", F.replace("facility_name", F.lit(" "), F.lit("\n"))).withColumnsRenamed(names)
+    folder = new_folder(spark, "broken_lines")
+    writer = rows.write.option("header", True).option("escape", '"').option("maxRecordsPerFile", tables.RECORDS_PER_FILE)
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
+    return readers.project_canonical(readers.read_source(spark, folder, "csv", multiline=readers.SPLIT))
+
+
 def project_canonical(spark: SparkSession, d: str) -> DataFrame:
     headers = {n: h for h, n in HEADER_TO_NAME.items()}
     source = _stage(spark, d).withColumnsRenamed(headers)
@@ -83,6 +94,28 @@ def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     return table.select("row_hash", "discharge_year", "facility_name", "length_of_stay", "total_charges", "total_costs")
 
 
+def stream_state_dedup(spark: SparkSession, d: str) -> DataFrame:
+    target = new_folder(spark, "state")
+    table = state.ingest_state(spark, tables.csv_folder(spark, d), target, max_files=STREAM_FILES)
+    return table.select("row_hash", "discharge_year", "facility_name", "length_of_stay", "total_charges", "total_costs")
+
+
+def uncommitted_load(spark: SparkSession, d: str) -> DataFrame:
+    """Three loads of which the second breaks before its commit: its rows are not in the table, nor does it hold up the third."""
+    fact, target = _fact(spark, d), new_folder(spark, "committed")
+    commits.load(spark, target, "a", fact.where("age_group = '0 to 17'"))
+
+    def broken() -> None:
+        raise InterruptedError("the load ends here")
+
+    try:
+        commits.load(spark, target, "b", commits.absent(fact.where("gender = 'F'"), target).select(fact.columns), before_commit=broken)
+    except InterruptedError:
+        pass
+    commits.load(spark, target, "c", commits.absent(fact.where("gender = 'M'"), target).select(fact.columns))
+    return commits.read_loads(spark, target).select("load", "row_hash", "source_rows", "total_costs", "discharge_year")
+
+
 def bad_records(spark: SparkSession, d: str) -> DataFrame:
     """Records written as text: negative stays get a field too many, blank stays one too few."""
     rows = _stage(spark, d)
@@ -259,6 +292,35 @@ def cross_source_check(spark: SparkSession, d: str) -> DataFrame:
     return profile.cross_source_check(copies)
 
 
+def _loads(fact: DataFrame) -> dict[str, DataFrame]:
+    """The table as two loads."""
+    young = F.coalesce(F.col("age_group") == "0 to 17", F.lit(False))
+    return {"first": fact.where(young), "second": fact.where(~young)}
+
+
+def profile_sketches(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct values from the stored sketches of two loads, held to the exact counts."""
+    path = new_folder(spark, "sketches")
+    for load, rows in _loads(_fact(spark, d)).items():
+        sketches.store_sketches(rows, path, load, NAMES)
+    return sketches.held_to_exact(sketches.merged_profile(spark, path), _fact(spark, d), NAMES)
+
+
+def _cube(spark: SparkSession, d: str) -> str:
+    path = new_folder(spark, "cube")
+    for load, rows in _loads(_fact(spark, d)).items():
+        cube.add_load(rows, path, load)
+    return path
+
+
+def cross_source_diff(spark: SparkSession, d: str) -> DataFrame:
+    """The table against a copy in which some costs are one higher and some rows are missing."""
+    fact = _fact(spark, d)
+    dearer = (F.col("total_costs") + F.when(F.col("row_hash").startswith("00"), 1).otherwise(0)).cast("decimal(14,2)")
+    copy = fact.where(~F.col("row_hash").startswith("01")).withColumn("total_costs", dearer).withColumn("row_hash", row_hash(NAMES))
+    return hashtree.difference(fact, copy, ["facility_name", "total_costs"])
+
+
 def incremental_insert(spark: SparkSession, d: str) -> DataFrame:
     """All staged rows against a table that lacks one age group: only that group is new."""
     stored = _fact(spark, d).where(F.col("age_group") != "0 to 17")
@@ -318,6 +380,25 @@ def ml_score_rows(spark: SparkSession, d: str) -> DataFrame:
     return ml_score(spark, d).select("row_hash", F.col("predicted_cost").isNotNull().alias("scored"))
 
 
+def ml_sample_exact(spark: SparkSession, d: str) -> DataFrame:
+    return cost_model.exact_sample(cost_model.train_rows(_fact(spark, d)), MODEL_ROWS).select("row_hash", "total_costs")
+
+
+def ml_median_all(spark: SparkSession, d: str) -> DataFrame:
+    return cost_model.exact_baseline(*cost_model.train_test_whole(_fact(spark, d)))
+
+
+def ml_boost_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Predictions for all held-out rows by a model of all training rows."""
+    train, test = cost_model.train_test_whole(_fact(spark, d))
+    return boosting.score(boosting.fit(train), test).select("row_hash", "total_costs", "predicted_cents")
+
+
+def ml_boost_metrics(spark: SparkSession, d: str) -> DataFrame:
+    train, test = cost_model.train_test_whole(_fact(spark, d))
+    return boosting.errors(boosting.score(boosting.fit(train), test))
+
+
 def ml_cost_metrics(spark: SparkSession, d: str) -> DataFrame:
     _, metrics = cost_model.train_and_evaluate(_fact(spark, d), MODEL_ROWS)
     names = ["mae", "rmse", "r2", "baseline_mae", "train_rows", "test_rows"]
@@ -346,6 +427,9 @@ def queries() -> dict[str, Query]:
         "scan_jsonl": scan_jsonl,
         "stream_ingest": stream_ingest,
         "project_canonical": project_canonical,
+        "scan_csv_multiline": scan_csv_multiline,
+        "stream_state_dedup": stream_state_dedup,
+        "uncommitted_load": uncommitted_load,
         "ingest_strict": _on_stage(cleaning.strict_table),
         "bad_records": bad_records,
         "ledger_state": ledger_state,
@@ -420,6 +504,11 @@ def queries() -> dict[str, Query]:
         "route_rules": _question_tag(Q.route_of, "route"),
         "profile_columns": profile_columns,
         "profile_top_values": _on_fact(profile.top_values),
+        "profile_heavy_hitters": _on_fact(sketches.heavy_hitters),
+        "profile_sketches": profile_sketches,
+        "cube_after_two_loads": lambda spark, d: cube.group_by(spark, _cube(spark, d)),
+        "overview_cube": lambda spark, d: cube.overview(spark, _cube(spark, d)),
+        "cross_source_diff": cross_source_diff,
         "dup_estimate": lambda spark, d: dedup.duplicate_rate(_hashed(spark, d).select("row_hash")),
         "anomaly_counts": _on_stage(lambda df: profile.count_rules(df, profile.anomaly_rules(LAST_YEAR))),
         "field_missing": _on_fact(profile.field_missing),
@@ -434,6 +523,10 @@ def queries() -> dict[str, Query]:
         "ml_index": ml_index,
         "ml_score_rows": ml_score_rows,
         "ml_baseline": ml_baseline,
+        "ml_sample_exact": ml_sample_exact,
+        "ml_median_all": ml_median_all,
+        "ml_boost_scores": ml_boost_scores,
+        "ml_boost_metrics": ml_boost_metrics,
         "ml_cost_metrics": ml_cost_metrics,
         "ml_score": ml_score,
     }

@@ -61,6 +61,12 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return path
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder at ``path``; asking by a failing read would report that to query listeners."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder now instead of at the end of the process."""
     _remove(spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path)

@@ -11,11 +11,13 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from wardline.schema import CLEAN_SCHEMA, HEADER_TO_NAME, HEADERS, NAMES
+from wardline.sources import multiline as split_lines
 
 # Accepted file endings.
 FORMATS = {".csv": "csv", ".tsv": "tsv", ".json": "json", ".jsonl": "json"}
 SEPARATORS = {"csv": ",", "tsv": "\t"}
 CORRUPT = "_corrupt"
+SPLIT = "split"
 
 
 def source_format(path: str) -> str:
@@ -75,7 +77,7 @@ def read_source(
     fmt: str | None = None,
     *,
     expected: Sequence[str] | None = HEADERS,
-    multiline: bool = False,
+    multiline: bool | str = False,
     keep_corrupt: bool = False,
     drop_rejects: bool = False,
 ) -> DataFrame:
@@ -87,15 +89,21 @@ def read_source(
     fields, unbalanced quotes, broken JSON) stops the read with its text; ``drop_rejects`` leaves it out instead, and
     ``keep_corrupt`` keeps everything with the text in ``_corrupt`` for :func:`split_rejects`. JSON lines may leave
     out columns, but a key outside ``expected`` stops the read.
+
+    ``multiline`` reads line breaks inside quotes: ``True`` by Spark's own reader, one task a file; ``"split"`` by many
+    tasks a file, for one shuffle of the lines.
     """
     fmt = fmt or source_format(path)
     try:
         if fmt == "json":
             rows = json_records(spark.read.text(path), expected or HEADERS)
             return rows if keep_corrupt else _good_rows(rows, fmt, drop_rejects)
-        columns = csv_header(spark, path, fmt, multiline)
+        columns = csv_header(spark, path, fmt, bool(multiline))
         if expected is not None:
             validate_columns(columns, expected)
+        if multiline == SPLIT:
+            rows = split_lines.parsed(spark, path, columns, csv_options(fmt), CORRUPT)
+            return rows if keep_corrupt else _good_rows(rows, fmt, drop_rejects)
         reader = spark.read.options(**csv_options(fmt, multiline)).option("enforceSchema", False)
         rows = reader.schema(text_schema(columns, corrupt=True)).csv(path)
     except AnalysisException as error:
@@ -162,17 +170,22 @@ def _good_rows(rows: DataFrame, fmt: str, drop_rejects: bool) -> DataFrame:
     return rows.where(stop).drop(CORRUPT)
 
 
-def bad_record_counts(rows: DataFrame, fmt: str = "csv") -> DataFrame:
-    """One row: records read, short ones (padded) and rejected ones."""
+def record_counts(rows: DataFrame, fmt: str = "csv") -> list[Column]:
+    """Aggregates over a marked frame: ``records``, ``padded``, ``rejected``."""
     rejected = F.col(CORRUPT).isNotNull() & reject_reason(fmt, len(rows.columns) - 1).isNotNull()
     padded = F.col(CORRUPT).isNotNull() & ~rejected
     # Spark refuses to read the corrupt text alone, so the records are counted on a data column.
     first = F.col(rows.columns[0])
-    return rows.agg(
+    return [
         (F.count(first) + F.count(F.when(first.isNull(), 1))).alias("records"),
         F.count(F.when(padded, 1)).alias("padded"),
         F.count(F.when(rejected, 1)).alias("rejected"),
-    )
+    ]
+
+
+def bad_record_counts(rows: DataFrame, fmt: str = "csv") -> DataFrame:
+    """One row: records read, short ones (padded) and rejected ones."""
+    return rows.agg(*record_counts(rows, fmt))
 
 
 MOST_REJECTS = 100
@@ -184,12 +197,16 @@ def quarantine_rejects(rows: DataFrame, fmt: str, folder: str | None, most: int
     counts = bad_record_counts(rows, fmt).first()
     if counts["rejected"] and folder:
         split_rejects(rows, fmt)[1].write.mode("overwrite").parquet(folder)
-    if counts["rejected"] > most:
-        kept = f", kept in {folder}" if folder else ""
-        raise ValueError(f"{counts['rejected']} bad records, at most {most} are tolerated{kept}")
+    refuse_rejects(counts["rejected"], most, folder)
     return counts["records"], counts["rejected"]
 
 
+def refuse_rejects(rejected: int, most: int, folder: str | None = None) -> None:
+    if rejected > most:
+        kept = f", kept in {folder}" if folder else ""
+        raise ValueError(f"{rejected} bad records, at most {most} are tolerated{kept}")
+
+
 def project_canonical(df: DataFrame) -> DataFrame:
     """Headers to column names, in table order; an incomplete frame is refused."""
     renamed = df.withColumnsRenamed(HEADER_TO_NAME)

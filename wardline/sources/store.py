@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 from wardline.schema import FACT_SCHEMA, LEDGER_SCHEMA, NAMES, PARTITION_COLUMN, RAW_SCHEMA
+from wardline.session import exists
 
 
 def ddl(table: str, schema: T.StructType, partition: str | None = None, location: str | None = None) -> str:
@@ -34,12 +34,7 @@ def create_tables(spark: SparkSession, prefix: str = "", location: str | None =
 
 def read_fact(spark: SparkSession, path: str, schema: T.StructType = FACT_SCHEMA) -> DataFrame:
     """The table with its known schema; a table not written yet is empty."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" in str(error):
-            return spark.createDataFrame([], schema)
-        raise
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def to_fact(rows: DataFrame) -> DataFrame:
