@@ -15,7 +15,9 @@ whose box the stopping test does not rule out.
 
 Defined results: null, empty and zero vectors and those with null or non-finite components take no part, nor do
 rows without id; of rows with one id the smallest vector counts; vectors meet only vectors of their own length;
-ties go to the smaller id; an empty table gives an empty result; other columns are ignored.
+ties go to the smaller id; an empty table gives an empty result; other columns are ignored. Where a component is so
+large that squares leave the range of doubles, all vectors are searched scaled by one power of two: order and scores stay
+exact (a score beyond the range is infinite), but products of components 10^300 times smaller count as zero.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ from wardline.llm.common import keep
 
 FOUND = "query_id long, vec_id long, score double"
 SLACK = 1e-9
+LARGEST = 2.0**460  # of a component; squares of vectors up to this fit a double
 
 
 def chi_square_quantile(p: float, m: int) -> float:
@@ -176,7 +179,13 @@ def nearest(
     box for each of ``most_cells`` cells. Blocks and parts of queries bound what a task holds.
     """
     usable = keep(_usable(vectors, id_column, vector_column))
-    top, n = usable.agg(F.coalesce(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)), F.lit(0.0)), F.count("*")).first()
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    widest = F.aggregate("v", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))
+    top, largest, n = usable.agg(F.coalesce(F.max(square), F.lit(0.0)), F.coalesce(F.max(widest), F.lit(0.0)), F.count("*")).first()
+    shrink = 0 if largest <= LARGEST else math.frexp(largest)[1] - math.frexp(LARGEST)[1]
+    if shrink:  # by a power of two, which rounds nothing
+        usable = keep(usable.withColumn("v", F.transform("v", lambda x: x * F.lit(2.0**-shrink))))
+        top = usable.agg(F.max(square)).first()[0]
 
     def project(batches: Iterator[pd.DataFrame], own: bool) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -235,4 +244,5 @@ def nearest(
     narrowed = to_home.drop("bound", "cell").join(bounds, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf"))))
     to_rest = keep(narrowed.select("query_id", "v", "length", "p", "bound").mapInPandas(lambda b: route(b, False), asked + ", cell int"))
     rest = _search(points, to_rest, sizes, k, limit, top, query_rows, leaf)
-    return _best(near.select("query_id", "vec_id", "score").unionByName(rest), k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    own = F.col("score") * F.lit(2.0**shrink) * F.lit(2.0**shrink)
+    return _best(near.select("query_id", "vec_id", "score").unionByName(rest), k).select("query_id", F.col("rank").cast("int"), "vec_id", own.alias("score"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,23 @@ def small_side(rows: DataFrame, most: int = 100_000) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= most else rows
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores behind it as it takes not to be a column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def set_apart(df: DataFrame, reserved: Iterable[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with the columns that have a reserved name under free ones, and the map from these back to their own."""
+    back = {}
+    for name in [c for c in df.columns if c.lower() in {r.lower() for r in reserved}]:
+        free = free_name(df, f"own_{name}")
+        df, back[free] = df.withColumnRenamed(name, free), name
+    return df, back
+
+
 def lower_ascii(text: Column) -> Column:
     """``text`` with A-Z in lower case and every other character as it is.
 

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from wardline.llm.common import keep, lower_ascii, small_side
+from wardline.llm.common import keep, lower_ascii, set_apart, small_side
 
 WINDOW = 5
 PLAIN = 3
@@ -111,13 +111,14 @@ def hits(
 def clean(docs: DataFrame, benchmark: DataFrame, **options: object) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item; columns and other rows stay as they are."""
     names = {k: options.pop(k) for k in ("id_column", "text_column") if k in options}
+    docs, back = set_apart(docs, [*KEY, "__text"])
     keyed = _keyed(docs, names.get("id_column", "doc_id"), names.get("text_column", "text"))
     settings = {"coverage": 0.8, "band": 2, "broadcast_rows": 1_000_000, "item_column": "item_id", "item_text": "text"} | options
     whole = _found(keyed, benchmark, **settings).select(*KEY).unionByName(_edited(keyed, benchmark, **settings))
     copied = _copied(keyed, benchmark, settings["item_column"], settings["item_text"])
     whole = whole if copied is None else whole.unionByName(copied)
     found = keep(whole.distinct())
-    return keyed.join(small_side(found), KEY, "left_anti").drop(*KEY, "__text")
+    return keyed.join(small_side(found), KEY, "left_anti").drop(*KEY, "__text").withColumnsRenamed(back)
 
 
 def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:

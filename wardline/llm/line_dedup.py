@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from wardline.llm.common import keep, keep_partitions
+from wardline.llm.common import free_name, keep, keep_partitions, set_apart
 
 DOC = ["__doc", "__hash"]
 
@@ -110,12 +110,20 @@ def repeated_windows(docs: DataFrame, min_words: int) -> DataFrame:
     return _named(known, ["m", "head", "tail"]).where("place > rank").select(*DOC, "seq", "m")
 
 
+def count_names(docs: DataFrame) -> tuple[str, str]:
+    """Names of the two columns that ``dedupe`` adds: ``n_lines`` and ``n_removed``, or free ones like them."""
+    return free_name(docs, "n_lines"), free_name(docs, "n_removed")
+
+
 def dedupe(docs: DataFrame, min_words: int = 50, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``docs`` with the lines of later copies deleted, and two columns more: ``n_lines`` and ``n_removed``.
+    """``docs`` with the lines of later copies deleted, and two columns more: ``n_lines`` and ``n_removed``
+    (see ``count_names``).
 
     The text is shuffled once, in the join that brings the line numbers to be deleted. All rounds work on places
     and ranks of repeated lines, and each is written to the shared folder.
     """
+    n_lines, n_removed = count_names(docs)
+    docs, back = set_apart(docs, [*DOC, "__text", "__gone", "seq"])
     # In a struct a null id equals a null id, so the joins below stay plain equality.
     keyed = docs.withColumns({"__doc": F.struct(F.col(id_column)), "__text": F.col(text_column).cast("string")})
     keyed = keyed.withColumn("__hash", F.xxhash64("__text"))
@@ -127,7 +135,7 @@ def dedupe(docs: DataFrame, min_words: int = 50, id_column: str = "doc_id", text
     return joined.withColumns(
         {
             text_column: F.when(F.col("__gone").isNull(), F.col("__text")).otherwise(left_over),
-            "n_lines": F.size(lines_of(F.col("__text"))),
-            "n_removed": F.coalesce(F.size("__gone"), F.lit(0)),
+            n_lines: F.size(lines_of(F.col("__text"))),
+            n_removed: F.coalesce(F.size("__gone"), F.lit(0)),
         }
-    ).drop(*DOC, "__text", "__gone")
+    ).drop(*DOC, "__text", "__gone").withColumnsRenamed(back)

@@ -286,7 +286,7 @@ def fit(
 ) -> Model:
     """Learn a model from labelled rows. At most ``fit_rows`` of them are used; the broadcast side has no more rows."""
     ids = labels.where(F.col(label_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(label_column).cast("int").alias("toxic"))
-    chosen = ids.dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(fit_rows)
+    chosen = ids.groupBy("id").agg(F.min("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(fit_rows)
     texts = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
     sample = keep(texts.join(F.broadcast(chosen), "id").select("text", "toxic"))
     n_toxic, n_rows = sample.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()

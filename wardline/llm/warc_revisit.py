@@ -74,7 +74,9 @@ def resolve(records: DataFrame) -> DataFrame:
     narrow = records.where(F.col("kind").isin("response", "revisit")).select(
         "record_id", (F.col("kind") == "response").alias("full"), canonical(F.col("url")).alias("url_key"),
         F.coalesce(F.unix_micros("date"), F.lit(-(2**63))).alias("at"), F.coalesce("headers", none).alias("headers"),
-    ).dropDuplicates(["record_id", "full", "url_key", "at"])
+    )
+    # Records that differ in their headers only: the smallest headers stand for all.
+    narrow = narrow.groupBy("record_id", "full", "url_key", "at").agg(F.min("headers").alias("headers"))
     timed = narrow.withColumn("bucket", F.floor(F.col("at") / F.lit(BUCKET_SECONDS * 1_000_000)))
     answer = F.when(F.col("full"), F.struct("at", "record_id", "headers"))
     before = W.partitionBy("url_key", "bucket").orderBy("at", "record_id").rowsBetween(W.unboundedPreceding, -1)
@@ -106,7 +108,7 @@ def resolve(records: DataFrame) -> DataFrame:
 def with_payload(resolved: DataFrame, records: DataFrame, payload: str = "payload") -> DataFrame:
     """``resolved`` with the payload of the response, where there is one; many revisits may share a response."""
     bodies = records.where("kind = 'response'").select(F.col("record_id").alias("response_id"), F.col(payload).alias("payload"))
-    bodies = bodies.dropDuplicates(["response_id"])
+    bodies = bodies.groupBy("response_id").agg(F.min("payload").alias("payload"))
     wanted = resolved.where("status = 'resolved'").join(bodies, "response_id", "left")
     rest = resolved.where("status <> 'resolved'").withColumn("payload", F.lit(None).cast(records.schema[payload].dataType))
     return wanted.unionByName(rest)
