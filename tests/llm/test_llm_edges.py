@@ -187,3 +187,72 @@ def test_near_copies_from_the_similarity_on(spark, tmp_path, edits):
         docs += [row(2 * i, " ".join(text)), row(2 * i + 1, " ".join(copy))]
     frame = tables(spark, str(tmp_path), docs)
     assert corpus_pipeline.drop_near_duplicates(spark, frame, str(tmp_path)).count() == 40 - expected
+
+
+# ---- toxicity scores written out anew -----------------------------------------------------------
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def plain_score(model, text, known):
+    """The score by comparing every word with every term, and every quotation by counting marks from its line's start."""
+    low = (text or "").lower()
+    found = [(m[0], m.start()) for m in re.finditer(r"[^\W_]+", low)]
+    words = [w for w, _ in found]
+    sums = dict.fromkeys(("words", "misspelt", "stems", "quoted", "address"), 0.0)
+    kinds, n = set(), 0
+    for i, (word, at) in enumerate(found):
+        if word not in known:
+            hits = []
+            for term in model.words:
+                allowed = 2 if len(term) >= 9 else 1 if len(term) >= 5 else 0
+                if abs(len(word) - len(term)) <= allowed and edit_distance(word, term) <= allowed:
+                    hits.append((edit_distance(word, term), (term, edit_distance(word, term))))
+            hits += [(1, (term, -1)) for term in model.stems if word.startswith(term)]
+            known[word] = min(hits)[1] if hits and word not in model.struck else None
+        if known[word] is None:
+            continue
+        term, errors = known[word]
+        n += 1
+        line = low[low.rfind("\n", 0, at) + 1 : at]
+        low_marks = curly = 0
+        for c in line:
+            if c == "„":
+                low_marks += 1
+            elif c in "“”" and low_marks:
+                low_marks -= 1
+            elif c in "“”":
+                curly += 1 if c == "“" else -1
+        in_marks = line.count('"') % 2 == 1 or line.count("«") > line.count("»") or curly > 0 or low_marks > 0
+        near = set(words[max(0, i - 6) : i + 7])
+        weight = model.stems.get(term, 1.0) if errors < 0 else model.words.get(term, 1.0)
+        if in_marks or near & toxicity.REPORT:
+            sums["quoted"] += weight
+            continue
+        kinds.add(term)
+        sums["stems" if errors < 0 else "misspelt" if errors else "words"] += weight
+        sums["address"] += bool(near & toxicity.ADDRESS)
+    x = [*(np.log1p(v) for v in sums.values()), min(1.0, 10 * n / max(1, len(words))), np.log1p(len(kinds))] if n else [0.0] * 7
+    z = model.weights[0] + float(np.dot(model.weights[1:], x))
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def test_scores_by_brute_force(spark):
+    from wardline.llm.queries import train_rows
+
+    frame = spark.read.parquet(f"{SF}/documents.parquet")
+    model = toxicity.fit(frame, train_rows(spark.read.parquet(f"{SF}/labels.parquet")))
+    assert model.words
+    odd = ['he said "you idiot" and left', "you idiot", "„du idiot” idiot", "« idiot » idiiot", "idiot\n“idiot\nidiot", None, "", "worthles worthlesss wrthles"]
+    extra = spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(odd)], "doc_id long, text string")
+    both = frame.select("doc_id", "text").unionByName(extra)
+    known = {}
+    for r in both.select("doc_id", "text", toxicity.score(model, F.col("text")).alias("j")).collect():
+        assert abs(r.j.score - plain_score(model, r.text, known)) < 1e-9, r.doc_id
