@@ -232,3 +232,13 @@ def test_exact_sums_match_decimals(spark):
     ).first()
     assert row["s"] == row["d"] and row["m"] == pytest.approx(row["d"] / amounts.where("total_costs is not null").count())
     assert amounts.limit(0).agg(exact_sum("total_costs")).first()[0] is None
+
+
+def test_table_is_laid_out_by_year(spark, raw, tmp_path):
+    from wardline.plans.ingest import cleaned_table
+    from wardline.sources import store
+
+    frame = raw(*({"discharge_year": str(2000 + i % 5), "facility_name": f"F{i}"} for i in range(200))).repartition(16)
+    store.write_fact(store.to_fact(cleaned_table(frame)), str(tmp_path / "t"))
+    files = [f for f in (tmp_path / "t").rglob("*.parquet")]
+    assert len(files) == 5

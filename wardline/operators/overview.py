@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.functions.money import cents, high, joined, low
-from wardline.operators.aggregate import DIMENSIONS, aggregate, apply_filters
+from wardline.operators.aggregate import DIMENSIONS, aggregate, apply_filters, share_of, summary
 
 UNLABELLED = "未标注"
 # Overview section, its dimension, its number of rows.
@@ -111,28 +111,23 @@ def ranked(profile: DataFrame, keys: Sequence[str], most: int) -> DataFrame:
 def overview(df: DataFrame, filters: Mapping | None = None) -> DataFrame:
     """All overview sections in one long table: ``section, rank, dimension_value``, metrics.
 
-    The summary row has rank 0; metrics a section does not show are null. One scan serves everything: the groups by
-    hospital hold the facilities, the groups by year all rows, and the sections read the same exchange.
-    """
-    return overview_of(long_profile(apply_filters(df, filters), ["hospital", *(d for _, d, _ in SECTIONS)]))
-
-
-def overview_of(profile: DataFrame) -> DataFrame:
-    """The overview out of the additive sums of its dimensions and of ``hospital``.
-
-    A facility is a non-empty value of the dimension hospital, and every row has one year, or none.
+    The summary row has rank 0; metrics a section does not show are null. One scan serves all
+    sections, one of three columns the summary, and one of no column the share's total.
     """
+    rows = apply_filters(df, filters)
     none, metrics = F.lit(None), profile_metrics()
-    sums = [c for c in profile.columns if c == "count" or c.startswith(("sum_", "n_"))]
-    named = (F.col("dimension") == "hospital") & F.col("dimension_value").isNotNull() & (F.col("dimension_value") != "")
-    of_year = lambda c: F.sum(F.when(F.col("dimension") == "year", F.col(c))).alias(c)
-    totals = profile.where(F.col("dimension").isin("hospital", "year")).agg(F.count(F.when(named, 1)).alias("facilities"), *(of_year(c) for c in sums))
-    head = totals.select(
+    head = summary(rows).select(
         F.lit("summary").alias("section"), F.lit(0).alias("rank"), none.cast("string").alias("dimension_value"),
-        F.coalesce("count", F.lit(0)).alias("count"), metrics["avg_length_of_stay"].alias("avg_length_of_stay"),
-        metrics["avg_total_charges"].alias("avg_total_charges"), none.cast("double").alias("ratio"), "facilities",
-        metrics["sum_total_charges"].alias("total_charges"),
+        F.col("discharges").alias("count"), "avg_length_of_stay", "avg_total_charges",
+        none.cast("double").alias("ratio"), "facilities", "total_charges",
     )
+    profile = long_profile(rows, [d for _, d, _ in SECTIONS])
+    return head.unionByName(_sections(profile, share_of(rows)))
+
+
+def _sections(profile: DataFrame, share: Column) -> DataFrame:
+    """The ranked sections out of the additive sums of their dimensions; ``share`` is the share of all rows."""
+    none, metrics = F.lit(None), profile_metrics()
     section, limit = none.cast("string"), F.lit(0)
     for name, dimension, most in SECTIONS:
         here = F.col("dimension") == dimension
@@ -142,21 +137,38 @@ def overview_of(profile: DataFrame) -> DataFrame:
         sections = [s for s, m in SECTION_METRICS.items() if metric in m]
         return F.when(F.col("section").isin(*sections), value).alias(metric)
 
-    ratio = F.round(F.col("count").cast("double") / totals.select(F.col("count").cast("double")).scalar(), 6)
-    sections = profile.where(F.col("dimension").isin([d for _, d, _ in SECTIONS]))
-    body = (
-        ranked(sections, ["dimension"], max(most for _, _, most in SECTIONS))
+    return (
+        ranked(profile, ["dimension"], max(most for _, _, most in SECTIONS))
         .withColumn("section", section)
         .where(F.col("rank") <= limit)
         .select(
             "section", "rank", "dimension_value", "count",
             shown("avg_length_of_stay", metrics["avg_length_of_stay"]),
             shown("avg_total_charges", metrics["avg_total_charges"]),
-            shown("ratio", ratio),
+            shown("ratio", share),
             none.cast("bigint").alias("facilities"), none.cast("double").alias("total_charges"),
         )
     )
-    return head.unionByName(body)
+
+
+def overview_of(profile: DataFrame) -> DataFrame:
+    """The overview out of the additive sums of its dimensions and of ``hospital``.
+
+    A facility is a non-empty value of the dimension hospital, and every row has one year, or none.
+    """
+    none, metrics = F.lit(None), profile_metrics()
+    sums = [c for c in profile.columns if c == "count" or c.startswith(("sum_", "n_"))]
+    named = (F.col("dimension") == "hospital") & F.col("dimension_value").isNotNull() & (F.col("dimension_value") != "")
+    of_year = lambda c: F.sum(F.when(F.col("dimension") == "year", F.col(c))).alias(c)
+    totals = profile.where(F.col("dimension").isin("hospital", "year")).agg(F.count(F.when(named, 1)).alias("facilities"), *(of_year(c) for c in sums))
+    head = totals.select(
+        F.lit("summary").alias("section"), F.lit(0).alias("rank"), none.cast("string").alias("dimension_value"),
+        F.coalesce("count", F.lit(0)).alias("count"), metrics["avg_length_of_stay"].alias("avg_length_of_stay"),
+        metrics["avg_total_charges"].alias("avg_total_charges"), none.cast("double").alias("ratio"), "facilities",
+        metrics["sum_total_charges"].alias("total_charges"),
+    )
+    share = F.round(F.col("count").cast("double") / totals.select(F.col("count").cast("double")).scalar(), 6)
+    return head.unionByName(_sections(profile.where(F.col("dimension").isin([d for _, d, _ in SECTIONS])), share))
 
 
 # ---- tables the dashboard derives from group-by results ---------------------------------------

@@ -2,7 +2,8 @@
 
 Arguments of the job: ``--source``, ``--target``, ``--ledger``, ``--profile strict|relaxed``,
 ``--truncate``, ``--dry-run``, ``--multiline``, ``--most-rejects``; ``--stream`` consumes a folder as a
-file stream, with ``--max-files`` per batch and at most ``--max-batches`` of them; ``--init`` creates the tables.
+file stream, with ``--max-files`` per batch and at most ``--max-batches`` of them, ``--state`` with keyed state;
+``--init`` creates the tables.
 """
 
 from __future__ import annotations
@@ -76,7 +77,7 @@ def ingest(
     quarantine: str | None = None,
     last_year: int | None = None,
     run_id: int | None = None,
-    rebalance: bool = False,
+    rebalance: bool = True,
 ) -> dict:
     """Load one file or folder into the table at ``target`` and return the counters and scores.
 
@@ -173,6 +174,7 @@ def main() -> None:
     parser.add_argument("--multiline", action="store_true", help="line breaks inside quotes (in a stream: one task reads a file)")
     parser.add_argument("--most-rejects", type=int, default=readers.MOST_REJECTS)
     parser.add_argument("--stream", action="store_true", help="consume the folder as a file stream")
+    parser.add_argument("--state", action="store_true", help="a stream finds copies by keyed state instead of reading the table")
     parser.add_argument("--max-files", type=int, help="files per batch of a stream")
     parser.add_argument("--max-batches", type=int, help="end a trial stream after so many batches")
     parser.add_argument("--init", action="store_true", help="create the catalog tables first")
@@ -181,7 +183,14 @@ def main() -> None:
     if a.init:
         store.create_tables(spark)
     shared = {"profile": a.profile, "multiline": a.multiline, "most_rejects": a.most_rejects}
-    if a.stream:
+    if a.stream and a.state:
+        from wardline.streaming.state import ingest_state
+
+        if a.profile != "strict" or a.multiline or a.max_batches:
+            parser.error("--state goes with the strict profile, without --multiline and --max-batches")
+        ingest_state(spark, a.source, a.target, fmt=a.format or "csv", max_files=a.max_files, most_rejects=a.most_rejects)
+        result = ledger.latest_run(ledger.read_ledger(spark, f"{a.target}/ledger")).first().asDict(recursive=True)
+    elif a.stream:
         from wardline.streaming.ingest import ingest_stream, read_stream_ledger
 
         ingest_stream(spark, a.source, a.target, fmt=a.format or "csv", max_files=a.max_files, max_batches=a.max_batches, **shared)

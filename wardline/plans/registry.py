@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -136,14 +135,10 @@ def _with_long_rows(spark: SparkSession, d: str) -> str:
     cells = [F.concat(F.lit('"'), F.replace(F.coalesce(F.col(n), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for n in NAMES]
     line = F.concat(F.concat_ws(",", *cells), F.when(F.col("length_of_stay") == "-1", ",x").otherwise(""))
     folder = new_folder(spark, "long")
-    header = ",".join(f'"{HEADER}"' for HEADER in HEADERS)
-
-    def headed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The lines of a file: the header first."""
-        yield pd.DataFrame({"value": [header]})
-        yield from batches
-
-    rows.select(line.alias("value")).mapInPandas(headed, "value string").write.text(folder)
+    # One column without separator and quotes whose name is the header, so that the writer puts that into every file.
+    header = ",".join(f'"{name}"' for name in HEADERS)
+    plain = {"header": True, "sep": "\u0001", "quote": "\u0000", "escape": "\u0000", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    rows.select(line.alias(header)).write.options(**plain).csv(folder)
     return folder
 
 

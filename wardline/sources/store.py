@@ -42,11 +42,12 @@ def to_fact(rows: DataFrame) -> DataFrame:
     return rows.select(*NAMES, "source_rows", "row_hash", F.current_timestamp().alias("ingested_at"))
 
 
-def write_fact(rows: DataFrame, path: str, mode: str = "append", rebalance: bool = False) -> int:
+def write_fact(rows: DataFrame, path: str, mode: str = "append", rebalance: bool = True) -> int:
     """Write by year and return the number of rows written. The job commits as a whole.
 
-    Rows come from the grouping's own exchange. ``rebalance`` adds a second one that merges small files per year and
-    splits a year too big for one task, for sources that were cut into very many partitions.
+    Rows are brought together by year on the way, in tasks of the size that adaptive execution aims at: a year's small
+    parts become one file and a large year is split. Without ``rebalance`` they are written from the grouping's own
+    exchange, where every task holds rows of every year and leaves a file for each.
     """
     rows = rows.hint("rebalance", PARTITION_COLUMN) if rebalance else rows
     seen = Observation()
