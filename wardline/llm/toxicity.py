@@ -149,7 +149,7 @@ class Matcher:
             if state == self.dead:
                 break
         hit = None if word in self.struck else self.found[state]
-        if len(self.met) >= 300_000:
+        if len(self.met) >= 100_000:
             self.met.clear()
         if len(word) <= 40:
             self.met[word] = hit
