@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-SLICE = 1 << 23  # bytes of text that are laid out in columns at a time
+SLICE = 1 << 22  # bytes of text that are laid out in columns at a time
 LONGEST, SIDE_BY_SIDE = 48, 1 << 15  # characters and number of the words that are segmented side by side
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -348,7 +348,11 @@ class Decoder:
 def _gather(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The places ``start, start + 1, ...`` of every run, one run after the other."""
     ends = np.cumsum(counts)
-    return np.repeat(starts - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if total < 2**31 and (not len(starts) or int(starts.max()) < 2**30) else np.int64
+    out = np.repeat((starts - (ends - counts)).astype(kind), counts)
+    out += np.arange(total, dtype=kind)
+    return out
 
 
 def _slices(sizes: np.ndarray) -> list[tuple[int, int]]:
