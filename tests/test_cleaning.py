@@ -122,3 +122,18 @@ def test_duplicate_rate_and_estimate(spark):
     estimate = duplicate_rate(df, fraction=0.3).first()
     assert abs(estimate["duplicate_rate"] - 1 / 3) < 0.03 and estimate["rows_examined"] < 4000
     assert duplicate_rate(df.limit(0)).first()["duplicate_rate"] == 0.0
+
+
+def test_only_rows_that_may_have_copies_are_shuffled_whole(spark):
+    """Rows without a copy stay in place; those with one are folded, whatever the type, nulls and sign of their hash."""
+    from wardline.operators.dedup import fold_copies
+
+    rows = spark.range(4000).select((F.col("id") % 3000).alias("a"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("x"), F.col("id") % 3000)).alias("b"), F.lit(2).alias("w"))
+    found = fold_copies(rows, ["a", "b"])
+    expected = rows.groupBy("a", "b").agg(F.count("*").alias("source_rows"))
+    assert found.exceptAll(expected).isEmpty() and found.count() == expected.count() == 3000
+    assert found.where("source_rows = 2").count() == 1000
+    weighted = fold_copies(rows, ["a", "b"], "w").agg(F.sum("source_rows"), F.count("*")).first()
+    assert tuple(weighted) == (8000, 3000)
+    assert fold_copies(rows.limit(0), ["a", "b"]).isEmpty()
+    assert "Union" in found._jdf.queryExecution().optimizedPlan().toString()

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions import text as X
 from wardline.functions.identity import row_hash
+from wardline.operators.dedup import fold_copies, group_copies
 from wardline.schema import MONEY_COLUMNS, NAMES, REQUIRED
 
 NEWBORN = "Newborn"
@@ -41,15 +42,16 @@ def strict_rows(raw: DataFrame) -> DataFrame:
     return rows.withColumns({**checked, "apr_severity_of_illness_code": F.when(severity.between(0, 255), severity)})
 
 
-def strict_table(raw: DataFrame) -> DataFrame:
+def strict_table(raw: DataFrame, in_place: bool = False) -> DataFrame:
     """Cleaned distinct rows with ``source_rows`` (copies each stands for) and ``row_hash``.
 
     Counting copies instead of a plain ``distinct`` costs one long per row and keeps the read and
-    dropped counters in the table itself, so no second pass over the source is needed. The partial
-    aggregate folds copies before the shuffle, so a heavily repeated row does not load one task.
+    dropped counters in the table itself. The partial aggregate folds copies before the shuffle, so a heavily repeated
+    row does not load one task. ``in_place`` is for large tables of few copies: it reads ``raw`` three times, and only
+    rows that may have copies are shuffled as a whole.
     """
-    rows = strict_rows(raw).groupBy(*NAMES).agg(F.count("*").alias("source_rows"))
-    return rows.withColumn("row_hash", row_hash(NAMES))
+    fold = fold_copies if in_place else group_copies
+    return fold(strict_rows(raw), NAMES).withColumn("row_hash", row_hash(NAMES))
 
 
 # ---- relaxed profile ------------------------------------------------------------------------
@@ -109,7 +111,16 @@ def relaxed_rows(distinct_raw: DataFrame, fill: Mapping[str, object] | None = No
 
 def relaxed_table(raw: DataFrame, fill: Mapping[str, object] | None = None) -> DataFrame:
     """Distinct raw rows without those that lack every required field, cleaned, with ``source_rows``."""
-    marked = mark_invalid(_counted(raw))
+    return _valid(group_copies(missing_tokens(raw), raw.columns), fill)
+
+
+def relaxed_copies(raw: DataFrame, fill: Mapping[str, object] | None = None) -> DataFrame:
+    """The rows of ``relaxed_table``, each copy by itself (``source_rows`` 1), for those who fold them later."""
+    return _valid(missing_tokens(raw).withColumn("source_rows", F.lit(1).cast("long")), fill)
+
+
+def _valid(counted: DataFrame, fill: Mapping[str, object] | None) -> DataFrame:
+    marked = mark_invalid(counted)
     return relaxed_rows(marked.where(~F.col("invalid")).drop("invalid"), fill)
 
 
@@ -118,11 +129,6 @@ def clean_relaxed(raw: DataFrame, fill: Mapping[str, object] | None = None) -> D
     return relaxed_rows(missing_tokens(raw).distinct(), fill)
 
 
-def _counted(raw: DataFrame) -> DataFrame:
-    columns = raw.columns
-    return missing_tokens(raw).groupBy(*columns).agg(F.count("*").alias("source_rows"))
-
-
 def mark_invalid(raw: DataFrame) -> DataFrame:
     """Add ``invalid``: every required field is null once parsed. Judged before the text fill."""
     year = "_year"
@@ -138,7 +144,7 @@ def mark_invalid(raw: DataFrame) -> DataFrame:
 
 def clean_stats(raw: DataFrame) -> DataFrame:
     """One row: ``rows_read, rows_after_clean, duplicates_removed, invalid_rows_removed``."""
-    rows = mark_invalid(_counted(raw))
+    rows = mark_invalid(fold_copies(missing_tokens(raw), raw.columns))
     return rows.agg(
         F.coalesce(F.sum("source_rows"), F.lit(0)).alias("rows_read"),
         F.count(F.when(~F.col("invalid"), 1)).alias("rows_after_clean"),

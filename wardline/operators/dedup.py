@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardline.functions import bits
 from wardline.functions.identity import hash_below
 
 
@@ -47,6 +48,32 @@ def _drop_all_repeated(df: DataFrame, keys: list[str]) -> DataFrame:
     return single.select(*[F.col(f"_rest.{c}").alias(c) if c in rest else F.col(c) for c in df.columns])
 
 
+# Places of the filter of rows that may have copies, as a power of two: 32 MB however many rows there are.
+FILTER_BITS = 28
+
+
+def group_copies(rows: DataFrame, columns: Sequence[str], weight: str | None = None) -> DataFrame:
+    """Distinct rows of ``columns`` with ``source_rows``, the number of copies (or the sum of ``weight``)."""
+    return rows.groupBy(*columns).agg((F.count("*") if weight is None else F.sum(weight)).alias("source_rows"))
+
+
+def fold_copies(rows: DataFrame, columns: Sequence[str], weight: str | None = None) -> DataFrame:
+    """:func:`group_copies` that shuffles few rows as a whole.
+
+    Grouping by all columns would shuffle every row. Hashes go first: a row whose hash is not met twice has no copy and
+    stays where it is. The others, and the few that share a bit of the filter with them, are grouped by all columns, so
+    the result does not depend on hashes being different. Copies fold before the shuffle.
+    """
+    place = F.col("_h").bitwiseAND(2**FILTER_BITS - 1)
+    marked = rows.withColumn("_h", F.xxhash64(*columns))
+    repeated = marked.groupBy("_h").agg(F.count("*").alias("n")).where("n > 1").select(place.alias("place"))
+    met = marked.join(F.broadcast(bits.bitmaps(repeated)), bits.bucket(place) == F.col("_bucket"), "left")
+    again = bits.is_set(place)
+    one = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
+    single = met.where(~again).select(*columns, one.alias("source_rows"))
+    return single.unionByName(group_copies(met.where(again), columns, weight))
+
+
 def duplicate_rate(hashes: DataFrame, key: str = "row_hash", fraction: float = 1.0, seed: int = 42) -> DataFrame:
     """One row: rows, distinct rows, duplicate rows and their share, judged on the row hash.
 

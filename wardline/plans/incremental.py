@@ -8,9 +8,9 @@ from wardline.plans.ingest import cleaned_table, years_in
 from wardline.sources import store
 
 
-def rows_to_insert(raw: DataFrame, stored: DataFrame, profile: str = "strict") -> DataFrame:
+def rows_to_insert(raw: DataFrame, stored: DataFrame, profile: str = "strict", in_place: bool = False) -> DataFrame:
     """Cleaned distinct rows of ``raw`` that the table does not hold."""
-    return store.absent_rows(cleaned_table(raw, profile), stored, years_in(raw, profile))
+    return store.absent_rows(cleaned_table(raw, profile, in_place), stored, years_in(raw, profile))
 
 
 def insert_new(spark: SparkSession, raw: DataFrame, target: str, profile: str = "strict") -> int:
@@ -20,6 +20,6 @@ def insert_new(spark: SparkSession, raw: DataFrame, target: str, profile: str =
     rows read are counted on the input; both counts go to the table's list of loads.
     """
     stored = store.read_fact(spark, target)
-    added = store.write_fact(store.to_fact(rows_to_insert(raw, stored, profile)), target)
+    added = store.write_fact(store.to_fact(rows_to_insert(raw, stored, profile, in_place=True)), target, rebalance=False)
     store.record_load(spark, target, raw.count(), added)
     return added

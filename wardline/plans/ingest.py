@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions.identity import row_hash
 from wardline.operators import cleaning, quality
+from wardline.operators.dedup import fold_copies, group_copies
 from wardline.schema import NAMES, PARTITION_COLUMN, TYPED
 from wardline.session import new_folder, remove_folder
 from wardline.sources import ledger, readers, store
@@ -25,20 +26,24 @@ from wardline.sources import ledger, readers, store
 PROFILES = ("strict", "relaxed")
 
 
-def as_table(relaxed: DataFrame) -> DataFrame:
+def as_table(relaxed: DataFrame, in_place: bool = False) -> DataFrame:
     """Relaxed rows in table types: amounts to decimals, identity added.
 
     Rows that differ as raw text only ("1,200" and "1200") are one row of the table, so that the identity is unique.
     """
     typed = {c: F.col(c).try_cast(t) for c, t in TYPED.items()}
-    folded = relaxed.withColumns(typed).groupBy(*NAMES).agg(F.sum("source_rows").alias("source_rows"))
+    folded = (fold_copies if in_place else group_copies)(relaxed.withColumns(typed), NAMES, "source_rows")
     return folded.withColumn("row_hash", row_hash(NAMES))
 
 
-def cleaned_table(raw: DataFrame, profile: str = "strict") -> DataFrame:
+def cleaned_table(raw: DataFrame, profile: str = "strict", in_place: bool = False) -> DataFrame:
+    """Cleaned distinct rows. ``in_place`` is for large tables: see :func:`cleaning.strict_table`."""
     if profile not in PROFILES:
         raise ValueError(f"profile must be one of {PROFILES}")
-    return cleaning.strict_table(raw) if profile == "strict" else as_table(cleaning.relaxed_table(raw))
+    if profile == "strict":
+        return cleaning.strict_table(raw, in_place)
+    # copies that the typed rows fold need not be folded as raw text before
+    return as_table(cleaning.relaxed_copies(raw) if in_place else cleaning.relaxed_table(raw), in_place)
 
 
 def years_in(raw: DataFrame, profile: str = "strict") -> list[int | None]:

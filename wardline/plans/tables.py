@@ -43,8 +43,8 @@ def stage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fact_path(spark: SparkSession, sf_dir: str) -> str:
     def write(path: str) -> None:
-        rows = store.to_fact(strict_table(stage(spark, sf_dir)))
-        added = store.write_fact(rows, path)
+        rows = store.to_fact(strict_table(stage(spark, sf_dir), in_place=True))
+        added = store.write_fact(rows, path, rebalance=False)
         store.record_load(spark, path, stage(spark, sf_dir).count(), added, "overwrite")
 
     return _once(spark, sf_dir, "fact", write)
