@@ -162,3 +162,16 @@ def test_ledger_states(spark, tmp_path):
     assert latest["run_id"] == 2 and len(latest["error_message"]) == 2000 and latest["quality"] is None
     with pytest.raises(ValueError):
         ledger.append_event(spark, path, run_id=3, status="odd")
+
+
+def test_exported_text_is_compressed(spark):
+    """The text of a large table is some ten times its size."""
+    import os
+
+    from conftest import SF
+
+    from wardline.plans import tables
+
+    for folder in (tables.csv_folder(spark, SF), tables.json_folder(spark, SF)):
+        files = [f for f in os.listdir(folder) if f.startswith("part-")]
+        assert files and all(f.endswith(".gz") for f in files)
