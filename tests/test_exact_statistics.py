@@ -136,3 +136,12 @@ def test_baseline_of_all_rows(fact):
     middle = statistics.median(costs)
     held = [int(r[0] * 100) for r in test.select("total_costs").collect()]
     assert tuple(cost_model.exact_baseline(train, test).first()) == (len(costs), middle, len(held), sum(abs(2 * x - int(2 * middle)) for x in held))
+
+
+def test_opened_buckets_are_found_without_a_shuffle_of_the_rows(spark):
+    rows = spark.range(3000).select(F.sha2(F.col("id").cast("string"), 256).alias("row_hash"))
+    buckets = rows.limit(40).select(F.substring("row_hash", 1, 6).alias("bucket"))
+    found = hashtree._within_bits(rows, buckets, 6, "row_hash")
+    expected = hashtree._within(rows, buckets, 6, "row_hash")
+    assert found.exceptAll(expected).isEmpty() and found.count() == expected.count() >= 40
+    assert "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardline.functions import bits
+
 LEVELS = (3, 6)  # hexadecimal digits of the identity that name a bucket
 
 
@@ -34,6 +36,14 @@ def _within(rows: DataFrame, buckets: DataFrame, digits: int, identity: str) ->
     return rows.join(buckets, F.substring(identity, 1, digits) == F.col("bucket"), "left_semi")
 
 
+def _within_bits(rows: DataFrame, buckets: DataFrame, digits: int, identity: str) -> DataFrame:
+    """Rows of the named buckets. A bit for each bucket (2 MB for six digits) is sent to the rows, which stay in place."""
+    place = lambda name: F.conv(name, 16, 10).cast("long")
+    spot = place(F.substring(identity, 1, digits))
+    met = rows.join(F.broadcast(bits.bitmaps(buckets.select(place(F.col("bucket")).alias("place")))), bits.bucket(spot) == F.col("_bucket"))
+    return met.where(bits.is_set(spot)).select(*rows.columns)
+
+
 def difference(left: DataFrame, right: DataFrame, show: Sequence[str] = (), identity: str = "row_hash") -> DataFrame:
     """``identity``, ``show``, ``side`` (left or right) and ``times`` for rows that one copy holds more often.
 
@@ -45,7 +55,7 @@ def difference(left: DataFrame, right: DataFrame, show: Sequence[str] = (), iden
     opened = differing(*here, second, identity)
     counts = []
     for sign, side in zip((1, -1), here, strict=True):
-        rows = _within(side, opened, second, identity).groupBy(identity).agg(*(F.min(c).alias(c) for c in show), F.count("*").alias("n"))
+        rows = _within_bits(side, opened, second, identity).groupBy(identity).agg(*(F.min(c).alias(c) for c in show), F.count("*").alias("n"))
         counts.append(rows.withColumn("n", F.col("n") * sign))
     net = counts[0].unionByName(counts[1]).groupBy(identity).agg(*(F.min(c).alias(c) for c in show), F.sum("n").alias("net")).where("net <> 0")
     return net.select(identity, *show, F.when(F.col("net") > 0, "left").otherwise("right").alias("side"), F.abs("net").alias("times"))
