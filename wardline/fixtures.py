@@ -54,13 +54,14 @@ RAW_JOINS = """
 
 RAW_SELECT = "select " + RAW_FIELDS + " from {lineitem} " + RAW_JOINS
 
-# The same rows by other joins: orders meet their customers before the items, which saves a shuffle of the items.
+# The same rows by other joins: orders meet their customers before the items, which saves a shuffle of the items. Parts come
+# before the small tables: where they are too many to be sent to every task, the items are shuffled without those names.
 ORDER_SELECT = """
 select o_orderkey, o_orderstatus, o_orderpriority, c_mktsegment, c_nationkey from {orders} join {customer} on c_custkey=o_custkey
 """
 LOAD_SELECT = "select " + RAW_FIELDS + """ from {lineitem} join {orders} on o_orderkey=l_orderkey
- join {supplier} on s_suppkey=l_suppkey join {nation} on n_nationkey=s_nationkey
- join {region} on r_regionkey=n_regionkey join {part} on p_partkey=l_partkey
+ join {part} on p_partkey=l_partkey join {supplier} on s_suppkey=l_suppkey
+ join {nation} on n_nationkey=s_nationkey join {region} on r_regionkey=n_regionkey
 """
 
 # A question per conversation turn: a request phrase for some conversations, then the turn's own text.

@@ -37,7 +37,7 @@ def _once(spark: SparkSession, sf_dir: str, name: str, write) -> str:
 
 def stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 33 text columns as a columnar staging table: joined once, read by many."""
-    path = _once(spark, sf_dir, "stage", lambda p: fixtures.discharge_raw(spark, sf_dir).write.parquet(p))
+    path = _once(spark, sf_dir, "stage", lambda p: fixtures.discharge_raw(spark, sf_dir).write.parquet(p, compression=store.COMPRESSION))
     return spark.read.schema(RAW_SCHEMA).parquet(path)
 
 
