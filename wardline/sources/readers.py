@@ -123,7 +123,13 @@ def json_records(lines: DataFrame, expected: Sequence[str] = HEADERS) -> DataFra
     refused = F.raise_error(F.concat(F.lit("the record breaks the contract (unexpected: "), F.array_join(unknown, ", "), F.lit(")")))
     checked = F.when(F.size(unknown) > 0, refused.cast("string")).otherwise(F.col("value"))
     parsed = F.from_json(checked, text_schema(expected, corrupt=True), {"columnNameOfCorruptRecord": CORRUPT})
-    return lines.where(F.trim("value") != "").select(parsed.alias("r")).select("r.*")
+    return lines.where(F.trim("value") != "").select(parsed_once(parsed).alias("r")).select("r.*")
+
+
+def parsed_once(parsed: Column) -> Column:
+    """The same value by a generator: Spark copies a column's expression into every later filter and column that uses
+    it, and would parse each record several times; what a generator yields is computed once."""
+    return F.explode(F.array(parsed))
 
 
 def field_count(record: Column, separator: str) -> Column:
