@@ -8,6 +8,7 @@ from wardline.schema import FACT_SCHEMA
 from wardline.sources import store
 
 SETTING = "spark.sql.maxConcurrentOutputFileWriters"
+SPLITS = "spark.sql.files.maxPartitionBytes"
 
 
 def _facts(spark, years):
@@ -53,11 +54,25 @@ def test_more_years_than_open_files_and_missing_ones_are_all_written(spark, tmp_
 def test_the_session_keeps_its_own_number(spark, tmp_path):
     spark.conf.set(SETTING, 0)
     try:
-        with store.files_side_by_side(spark):
+        with store.unless_set(spark, store.SIDE_BY_SIDE):
             assert spark.conf.get(SETTING) == "0"
         assert spark.conf.get(SETTING, None) == "0"
     finally:
         spark.conf.unset(SETTING)
-    with pytest.raises(ZeroDivisionError), store.files_side_by_side(spark):
+    with pytest.raises(ZeroDivisionError), store.unless_set(spark, store.SIDE_BY_SIDE):
         1 / 0
     assert spark.conf.get(SETTING, None) is None
+
+
+def test_copies_are_found_in_small_tasks(spark, tmp_path, monkeypatch):
+    seen, plain = [], DataFrameWriter.parquet
+
+    def looked(self, *args, **more):
+        seen.append(spark.conf.get(SPLITS, None))
+        return plain(self, *args, **more)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", looked)
+    for rebalance in (False, True):
+        store.write_fact(_facts(spark, [2001]), str(tmp_path / str(rebalance)), rebalance=rebalance)
+    assert seen == ["32m", None]
+    assert spark.conf.get(SPLITS, None) is None

@@ -52,35 +52,36 @@ def write_fact(rows: DataFrame, path: str, mode: str = "append", rebalance: bool
 
     Rows are brought together by year on the way, in tasks of the size that adaptive execution aims at: a year's small
     parts become one file and a large year is split. Without ``rebalance`` they are written from the grouping's own
-    exchange, where every task holds rows of every year and leaves a file for each. Rows are not sorted by year for it.
+    exchange, where every task holds rows of every year and leaves a file for each, and copies are found in small tasks.
+
+    A file is kept open for each year. Spark otherwise sorts every task's whole rows by year first, which do not stay in memory.
     """
     rows = rows.hint("rebalance", PARTITION_COLUMN) if rebalance else rows
     seen = Observation()
-    with files_side_by_side(rows.sparkSession):
+    with unless_set(rows.sparkSession, SIDE_BY_SIDE if rebalance else SIDE_BY_SIDE | SMALL_TASKS):
         rows.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode(mode).partitionBy(PARTITION_COLUMN).parquet(path, compression=COMPRESSION)
     return seen.get["rows"]
 
 
 # Years that a task writes side by side; it sorts only the rows that follow when it meets more.
 OPEN_FILES = 32
-_WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
+SIDE_BY_SIDE = {"spark.sql.maxConcurrentOutputFileWriters": str(OPEN_FILES)}
+# Text rows take ten times their file's room and hashes six times their shuffle's, so Spark's default sizes give tasks
+# whose groups of hashes do not stay in memory.
+SMALL_TASKS = {"spark.sql.files.maxPartitionBytes": "32m", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m"}
 
 
 @contextmanager
-def files_side_by_side(spark: SparkSession) -> Iterator[None]:
-    """A partitioned write in here keeps a file open for each partition. Spark otherwise sorts every task's rows by
-    partition first, and whole text rows, some ten times as large as in the file they come from, do not stay in memory.
-
-    A number that the session has set is left as it is.
-    """
-    if spark.conf.get(_WRITERS, None) is not None:
-        yield
-        return
-    spark.conf.set(_WRITERS, OPEN_FILES)
+def unless_set(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """The settings hold in here; those that the session has itself are left as they are."""
+    ours = {k: v for k, v in settings.items() if spark.conf.get(k, None) is None}
+    for key, value in ours.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.unset(_WRITERS)
+        for key in ours:
+            spark.conf.unset(key)
 
 
 def truncate(spark: SparkSession, path: str) -> None:
