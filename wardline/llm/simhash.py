@@ -148,19 +148,22 @@ def links(prints: DataFrame, crowd: int = 64) -> DataFrame:
     visitors of a more crowded key are linked through shared one-bit neighbours instead: two fingerprints differ
     in two bits or fewer exactly if some word is at most one bit away from both, so 65 rows a fingerprint connect
     the whole crowd without comparing pairs.
+
+    The joins on unfolded rows are sort-merge joins by hint: Spark sizes such rows like the fingerprints they come from, some
+    27 or 65 times too low, and would send them to every task through the driver.
     """
     members = keep(_key_rows(prints, own_only=True))
     visitors = _key_rows(prints, own_only=False)
     crowded = members.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("key")
     few = members.join(crowded, "key", "left_anti").select("key", F.col("fp").alias("b"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2
-    pairs = visitors.select("key", F.col("fp").alias("a")).join(few, "key").where((F.col("a") != F.col("b")) & near).select("a", "b")
+    pairs = visitors.select("key", F.col("fp").alias("a")).join(few.hint("merge"), "key").where((F.col("a") != F.col("b")) & near).select("a", "b")
 
     flips = F.array(F.lit(0).cast("long"), *(F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64)))
     masses = visitors.join(crowded, "key", "left_semi").select("fp").distinct()
     words = masses.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("word"))
     hubs = words.groupBy("word").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).where("n > 1").select("word", "hub")
-    through = words.join(hubs, "word").where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b"))
+    through = words.join(hubs.hint("merge"), "word").where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b"))
     return pairs.unionByName(through)
 
 
