@@ -425,7 +425,7 @@ def queries() -> dict[str, Query]:
         "scan_csv_multiline": scan_csv_multiline,
         "stream_state_dedup": stream_state_dedup,
         "uncommitted_load": uncommitted_load,
-        "ingest_strict": _on_stage(cleaning.strict_table),
+        "ingest_strict": _on_stage(lambda df: cleaning.strict_table(df, in_place=True)),
         "bad_records": bad_records,
         "ledger_state": ledger_state,
         "ledger_latest": ledger_latest,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wardline import fixtures
 from wardline.operators.cleaning import strict_table
 from wardline.schema import COLUMNS, RAW_SCHEMA
-from wardline.session import new_folder
+from wardline.session import FREED, new_folder, unless_set
 from wardline.sources import store
 
 _written: dict[tuple, str] = {}
@@ -30,7 +30,8 @@ def _once(spark: SparkSession, sf_dir: str, name: str, write) -> str:
     key = (spark.sparkContext.applicationId, sf_dir, name, _signature(spark, sf_dir))
     if key not in _written:
         path = new_folder(spark, name)
-        write(path)
+        with unless_set(spark, FREED):
+            write(path)
         _written[key] = path
     return _written[key]
 

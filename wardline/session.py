@@ -6,6 +6,8 @@ import atexit
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -67,6 +69,23 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
+# A finished write leaves its shuffle files on disk until the driver happens to collect its garbage.
+FREED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
+@contextmanager
+def unless_set(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """The settings hold in here; those that the session has itself are left as they are."""
+    ours = {k: v for k, v in settings.items() if spark.conf.get(k, None) is None}
+    for key, value in ours.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key in ours:
+            spark.conf.unset(key)
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder now instead of at the end of the process."""
     _remove(spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path)

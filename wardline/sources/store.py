@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardline.schema import FACT_SCHEMA, LEDGER_SCHEMA, NAMES, PARTITION_COLUMN, RAW_SCHEMA
-from wardline.session import exists
+from wardline.session import FREED, exists, unless_set
 
 
 def ddl(table: str, schema: T.StructType, partition: str | None = None, location: str | None = None) -> str:
@@ -58,7 +57,7 @@ def write_fact(rows: DataFrame, path: str, mode: str = "append", rebalance: bool
     """
     rows = rows.hint("rebalance", PARTITION_COLUMN) if rebalance else rows
     seen = Observation()
-    with unless_set(rows.sparkSession, SIDE_BY_SIDE if rebalance else SIDE_BY_SIDE | SMALL_TASKS):
+    with unless_set(rows.sparkSession, FREED | SIDE_BY_SIDE | ({} if rebalance else SMALL_TASKS)):
         rows.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode(mode).partitionBy(PARTITION_COLUMN).parquet(path, compression=COMPRESSION)
     return seen.get["rows"]
 
@@ -71,19 +70,6 @@ SIDE_BY_SIDE = {"spark.sql.maxConcurrentOutputFileWriters": str(OPEN_FILES)}
 SMALL_TASKS = {"spark.sql.files.maxPartitionBytes": "32m", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m"}
 
 
-@contextmanager
-def unless_set(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
-    """The settings hold in here; those that the session has itself are left as they are."""
-    ours = {k: v for k, v in settings.items() if spark.conf.get(k, None) is None}
-    for key, value in ours.items():
-        spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        for key in ours:
-            spark.conf.unset(key)
-
-
 def truncate(spark: SparkSession, path: str) -> None:
     """Replace the table by an empty one (explicit full reload)."""
     spark.createDataFrame([], FACT_SCHEMA).write.mode("overwrite").parquet(path)
