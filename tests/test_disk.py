@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from wardline.operators import cleaning
+from wardline.operators import cleaning, dedup
 from wardline.plans import registry
 from wardline.session import FREED
 from wardline.sources import store
@@ -24,7 +24,7 @@ def _below(plan: str, operator: str) -> list[tuple[str, str]]:
     return out
 
 
-@pytest.mark.parametrize("name", ["ingest_strict"])
+@pytest.mark.parametrize("name", ["ingest_strict", "dedup_full"])
 def test_only_rows_that_may_have_copies_are_shuffled_whole(spark, name):
     found = registry.queries()[name](spark, SF)
     plan = found._jdf.queryExecution().executedPlan().toString()
@@ -32,6 +32,14 @@ def test_only_rows_that_may_have_copies_are_shuffled_whole(spark, name):
     assert wide and all("_bits" in below for below in wide)
 
 
+def test_copies_in_place_are_the_plain_ones(raw):
+    rows = raw({}, {}, {"gender": None}, {"gender": None}, {"gender": "M"}, {"total_costs": "7"}, {"discharge_year": None})
+    whole = lambda df: sorted(map(str, df.collect()))
+    assert whole(dedup.drop_duplicates(rows, in_place=True)) == whole(dedup.drop_duplicates(rows))
+    assert dedup.drop_duplicates(rows, in_place=True).columns == rows.columns
+    assert dedup.drop_duplicates(rows, in_place=True).count() == 5
+
+
 def _shuffle_files(spark) -> set[str]:
     top = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
     return {f for d in top for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_")}

@@ -16,11 +16,12 @@ def drop_duplicates(
     subset: Sequence[str] | None = None,
     keep: str | bool = "first",
     order_by: Sequence[str | Column] | None = None,
+    in_place: bool = False,
 ) -> DataFrame:
     """Keep the ``first`` or ``last`` row of each group, or none of a repeated one (``False``).
 
     Without ``subset`` the whole row is the key. First and last need ``order_by``: Spark files
-    have no row order to rely on.
+    have no row order to rely on. ``in_place``, for whole rows of large tables with few copies: see :func:`fold_copies`.
     """
     if keep not in ("first", "last", False):
         raise ValueError("keep must be 'first', 'last' or False")
@@ -28,7 +29,7 @@ def drop_duplicates(
     if keep is False:
         return _drop_all_repeated(df, keys)
     if subset is None:
-        return df.dropDuplicates()
+        return fold_copies(df, df.columns).drop("source_rows") if in_place else df.dropDuplicates()
     if not order_by:
         raise ValueError("a subset needs order_by to say which row comes first")
     order = [F.col(c) if isinstance(c, str) else c for c in order_by]

@@ -434,7 +434,7 @@ def queries() -> dict[str, Query]:
         "relaxed_identity": relaxed_identity,
         "stream_rejects": stream_rejects,
         "stream_ledger": stream_ledger,
-        "dedup_full": _on_stage(dedup.drop_duplicates),
+        "dedup_full": _on_stage(lambda df: dedup.drop_duplicates(df, in_place=True)),
         "dedup_first": _dedup("first"),
         "dedup_last": _dedup("last"),
         "dedup_none": dedup_none,
