@@ -24,7 +24,7 @@ def _below(plan: str, operator: str) -> list[tuple[str, str]]:
     return out
 
 
-@pytest.mark.parametrize("name", ["ingest_strict", "dedup_full"])
+@pytest.mark.parametrize("name", ["ingest_strict", "dedup_full", "clean_relaxed"])
 def test_only_rows_that_may_have_copies_are_shuffled_whole(spark, name):
     found = registry.queries()[name](spark, SF)
     plan = found._jdf.queryExecution().executedPlan().toString()
@@ -37,6 +37,7 @@ def test_copies_in_place_are_the_plain_ones(raw):
     whole = lambda df: sorted(map(str, df.collect()))
     assert whole(dedup.drop_duplicates(rows, in_place=True)) == whole(dedup.drop_duplicates(rows))
     assert dedup.drop_duplicates(rows, in_place=True).columns == rows.columns
+    assert whole(cleaning.clean_relaxed(rows, in_place=True)) == whole(cleaning.clean_relaxed(rows))
     assert dedup.drop_duplicates(rows, in_place=True).count() == 5
 
 

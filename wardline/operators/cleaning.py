@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions import text as X
 from wardline.functions.identity import row_hash
-from wardline.operators.dedup import fold_copies, group_copies
+from wardline.operators.dedup import drop_duplicates, fold_copies, group_copies
 from wardline.schema import MONEY_COLUMNS, NAMES, REQUIRED
 
 NEWBORN = "Newborn"
@@ -124,9 +124,9 @@ def _valid(counted: DataFrame, fill: Mapping[str, object] | None) -> DataFrame:
     return relaxed_rows(marked.where(~F.col("invalid")).drop("invalid"), fill)
 
 
-def clean_relaxed(raw: DataFrame, fill: Mapping[str, object] | None = None) -> DataFrame:
-    """The plain pipeline: distinct raw rows, cleaned."""
-    return relaxed_rows(missing_tokens(raw).distinct(), fill)
+def clean_relaxed(raw: DataFrame, fill: Mapping[str, object] | None = None, in_place: bool = False) -> DataFrame:
+    """The plain pipeline: distinct raw rows, cleaned. ``in_place``: see :func:`strict_table`."""
+    return relaxed_rows(drop_duplicates(missing_tokens(raw), in_place=in_place), fill)
 
 
 def mark_invalid(raw: DataFrame) -> DataFrame:

@@ -444,7 +444,7 @@ def queries() -> dict[str, Query]:
         "clean_types": clean_types,
         "clean_money_floor": clean_money_floor,
         "fill_missing": fill_missing,
-        "clean_relaxed": _on_stage(cleaning.clean_relaxed),
+        "clean_relaxed": _on_stage(lambda df: cleaning.clean_relaxed(df, in_place=True)),
         "clean_stats": _on_stage(cleaning.clean_stats),
         "clean_strict_text": _strict([c for c in TEXT_COLUMNS if c != "birth_weight"]),
         "clean_los_strict": _strict(["length_of_stay"]),
