@@ -54,3 +54,9 @@ def test_a_finished_write_keeps_no_shuffle_files(spark, tmp_path, raw):
     assert spark.conf.get(next(iter(FREED)), None) is None
     rows.agg(F.count("*")).collect()
     assert _shuffle_files(spark) - before  # a read keeps its own
+
+
+def test_an_insert_folds_copies_in_place(spark):
+    """What meets the stored identities are the returned columns, not whole rows grouped before."""
+    plan = registry.queries()["incremental_insert"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_bits" in plan and "Union" in plan

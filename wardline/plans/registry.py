@@ -319,7 +319,7 @@ def cross_source_diff(spark: SparkSession, d: str) -> DataFrame:
 def incremental_insert(spark: SparkSession, d: str) -> DataFrame:
     """All staged rows against a table that lacks one age group: only that group is new."""
     stored = _fact(spark, d).where(F.col("age_group") != "0 to 17")
-    new = incremental.rows_to_insert(_stage(spark, d), stored)
+    new = incremental.rows_to_insert(_stage(spark, d), stored, in_place=True)
     return new.select("row_hash", "discharge_year", "age_group", "total_charges", "source_rows")
 
 
