@@ -78,3 +78,35 @@ def test_a_batch_of_one_file_is_dealt_to_all_tasks(spark, tmp_path, monkeypatch)
     monkeypatch.setattr(stream, "rows_to_insert", counted)
     assert stream.ingest_stream(spark, str(folder), str(tmp_path / "out"), last_year=2026).count() == 100
     assert seen and seen[0] > 1
+
+
+def test_a_batch_is_scored_while_it_is_inserted(spark, tmp_path, monkeypatch):
+    import threading
+
+    from wardline.streaming import ingest as stream
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    write_csv(folder / "a.csv", [line(length_of_stay=str(n)) for n in range(5)])
+    both = threading.Barrier(2, timeout=60)
+
+    def meeting(plain):
+        def run(*given, **more):
+            both.wait()
+            return plain(*given, **more)
+
+        return run
+
+    monkeypatch.setattr(stream, "rows_to_insert", meeting(stream.rows_to_insert))
+    monkeypatch.setattr(stream.quality, "quality_sums", meeting(stream.quality.quality_sums))
+    assert stream.ingest_stream(spark, str(folder), str(tmp_path / "out"), last_year=2026).count() == 5
+
+
+def test_missing_texts_are_all_found_and_odd_names_kept(spark):
+    from wardline.functions.text import MISSING_TOKENS
+    from wardline.operators import cleaning
+
+    rows = [(t, "kept") for t in [*MISSING_TOKENS, None, " NA", "it's"]]
+    found = cleaning.missing_tokens(spark.createDataFrame(rows, "`a ``b` string, `c-d` string"))
+    assert found.columns == ["a `b", "c-d"]
+    assert [r[0] for r in found.collect() if r[0] is not None] == [" NA", "it's"]
