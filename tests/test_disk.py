@@ -60,3 +60,20 @@ def test_an_insert_folds_copies_in_place(spark):
     """What meets the stored identities are the returned columns, not whole rows grouped before."""
     plan = registry.queries()["incremental_insert"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "_bits" in plan and "Union" in plan
+
+
+def test_a_load_meets_the_held_ones_without_whole_rows(spark, tmp_path):
+    """Of the rows of a load only those that may be held are shuffled; the same rows are left as before."""
+    from wardline.schema import FACT_SCHEMA
+    from wardline.sources import commits
+
+    def facts(hashes):
+        given = {"row_hash": F.col("row_hash"), "discharge_year": F.lit(2001), "source_rows": F.lit(1)}
+        columns = [given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in FACT_SCHEMA]
+        return spark.createDataFrame([(h,) for h in hashes], "row_hash string").select(*columns)
+
+    target, many = str(tmp_path / "loads"), [format(i, "064x") for i in range(300)]
+    commits.load(spark, target, "a", facts(many))
+    left = commits.absent(facts([*many[:9], "f" * 64, "f" * 64, None]), target)
+    assert sorted(left.select("row_hash").collect(), key=str) == [("f" * 64,), ("f" * 64,), (None,)]
+    assert all("_bits" in below for _, below in _below(left._jdf.queryExecution().executedPlan().toString(), "LeftAnti"))

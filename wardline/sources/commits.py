@@ -13,9 +13,12 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wardline.functions import bits
+from wardline.operators.dedup import FILTER_BITS
 from wardline.schema import FACT_SCHEMA, PARTITION_COLUMN
+from wardline.session import FREED, unless_set
 from wardline.sources import ledger
-from wardline.sources.store import read_fact
+from wardline.sources.store import COMPRESSION, SIDE_BY_SIDE, read_fact
 
 COUNTS = ("rows_read", "rows_inserted", "rows_rejected")
 COMMITS = T.StructType([T.StructField("load", T.StringType()), *(T.StructField(c, T.LongType()) for c in COUNTS), T.StructField("committed_at", T.TimestampType())])
@@ -42,8 +45,20 @@ def read_rejects(spark: SparkSession, target: str) -> DataFrame:
 
 
 def absent(rows: DataFrame, target: str) -> DataFrame:
-    """``rows`` whose identity no committed load holds."""
-    return rows.join(read_loads(rows.sparkSession, target).select("row_hash"), "row_hash", "left_anti")
+    """``rows`` whose identity no committed load holds.
+
+    Whole rows are shuffled only if their identity may be held: the short hashes of both sides meet first, and a bit for each
+    that is met tells which rows stay where they are. ``rows`` are read three times.
+    """
+    held = read_loads(rows.sparkSession, target).select("row_hash")
+    short = lambda df: df.select(F.xxhash64("row_hash").alias("_h"))
+    place = F.col("_h").bitwiseAND(2**FILTER_BITS - 1)
+    met = short(rows).join(short(held).hint("merge"), "_h", "left_semi").select(place.alias("place"))
+    marked = rows.withColumn("_h", F.xxhash64("row_hash")).join(F.broadcast(bits.bitmaps(met)), bits.bucket(place) == F.col("_bucket"), "left")
+    known = bits.is_set(place)
+    columns = ["row_hash", *(c for c in rows.columns if c != "row_hash")]
+    fresh, open_ = (marked.where(x).select(*columns) for x in (~known, known))
+    return fresh.unionByName(open_.join(held, "row_hash", "left_anti"))
 
 
 def load(
@@ -57,7 +72,8 @@ def load(
         raise ValueError(f"load {load_id} is committed already")
     kept, dropped = Observation(), Observation()
     out = rows.observe(kept, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("source_rows"), F.lit(0)).alias("copies"))
-    out.write.mode("overwrite").partitionBy(PARTITION_COLUMN).parquet(f"{target}/fact/load={load_id}")
+    with unless_set(spark, FREED | SIDE_BY_SIDE):
+        out.write.mode("overwrite").partitionBy(PARTITION_COLUMN).parquet(f"{target}/fact/load={load_id}", compression=COMPRESSION)
     n_rejected = 0
     if rejected is not None:
         rejected.select("record", "reason").observe(dropped, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{target}/rejected/load={load_id}")
