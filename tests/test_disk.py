@@ -77,3 +77,26 @@ def test_a_load_meets_the_held_ones_without_whole_rows(spark, tmp_path):
     left = commits.absent(facts([*many[:9], "f" * 64, "f" * 64, None]), target)
     assert sorted(left.select("row_hash").collect(), key=str) == [("f" * 64,), ("f" * 64,), (None,)]
     assert all("_bits" in below for _, below in _below(left._jdf.queryExecution().executedPlan().toString(), "LeftAnti"))
+
+
+def test_a_stream_keeps_identities_as_bytes_and_few_versions(spark, tmp_path):
+    from conftest import line, write_csv
+
+    from wardline.streaming import state
+
+    folder, target = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    for i in range(4):
+        write_csv(folder / f"{i}.csv", [line(total_costs=str(i)), line(total_costs="7")])
+    before = {k: spark.conf.get(k, None) for k in state.SETTINGS}
+    table = state.ingest_state(spark, str(folder), target, max_files=1)
+    assert table.count() == 5 and table.where("row_hash rlike '^[0-9a-f]{64}$'").count() == 5
+    assert {k: spark.conf.get(k, None) for k in state.SETTINGS} == before
+    names = [f for _, _, files in os.walk(f"{target}/checkpoint/state") for f in files]
+    assert any(f.endswith(".changelog") for f in names)
+    assert all(".zstd." in f for _, _, files in os.walk(f"{target}/fact") for f in files if f.startswith("part-"))
+
+
+def test_rejected_text_is_compressed(spark):
+    folder = registry._with_long_rows(spark, SF)
+    assert all(f.endswith(".gz") for f in os.listdir(folder) if f.startswith("part-"))

@@ -26,6 +26,9 @@ from wardline.sources import ledger, readers, store
 from wardline.streaming.ingest import read_stream
 
 SETTINGS = {
+    # The checkpoint takes each batch's changes instead of whole files of the store, and versions that no restart reads go.
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.minBatchesToRetain": "2",
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.numRecentProgressUpdates": "100000",  # one small record a batch: the counters of a whole call
 }
@@ -49,8 +52,8 @@ def distinct_stream(raw: DataFrame) -> DataFrame:
 
     A row that comes again is dropped, whichever batch it is in; so a row stands for itself and not for its copies.
     """
-    rows = cleaning.strict_rows(raw).select(*NAMES).withColumn("row_hash", row_hash(NAMES))
-    return rows.dropDuplicates(["row_hash"])
+    rows = cleaning.strict_rows(raw).select(*NAMES).withColumn("_identity", F.unhex(row_hash(NAMES)))
+    return rows.dropDuplicates(["_identity"]).select(*NAMES, F.lower(F.hex("_identity")).alias("row_hash"))
 
 
 def _counted(marked: DataFrame, fmt: str) -> DataFrame:
@@ -92,7 +95,7 @@ def ingest_state(
     ledger.append_event(spark, book, event_seq=0, status="running", **run)
     try:
         rows = store.to_fact(distinct_stream(_counted(read_stream(spark, folder, fmt, max_files), fmt)).withColumn("source_rows", F.lit(1).cast("long")))
-        writer = rows.observe("kept", F.count(F.lit(1)).alias("rows")).writeStream.format("parquet").outputMode("append").partitionBy(PARTITION_COLUMN)
+        writer = rows.observe("kept", F.count(F.lit(1)).alias("rows")).writeStream.format("parquet").outputMode("append").partitionBy(PARTITION_COLUMN).option("compression", store.COMPRESSION)
         with _settings(spark):
             query = writer.option("path", f"{target}/fact").option("checkpointLocation", f"{target}/checkpoint").trigger(availableNow=True).start()
         batches = _run(query)
